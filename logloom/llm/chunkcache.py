@@ -25,7 +25,7 @@ class ChunkCache:
     what is emptied is encoded again when it returns.
     """
 
-    def __init__(self, encode: Encode, remembered: int = 2_000_000):
+    def __init__(self, encode: Encode, remembered: int = 400_000):
         self.encode_strings, self.remembered = encode, remembered
         self._clear()
 
