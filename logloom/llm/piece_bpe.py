@@ -381,31 +381,36 @@ def encoder(path: str) -> Encoder:
 # -- over tables -----------------------------------------------------------------
 
 
-def encoded(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", end_id: bool = True, drop: Sequence[str] = ()) -> DataFrame:
+def encoded(docs: DataFrame, model: str, text: str = "text", ids: str = "ids", end_id: bool = True, decoded: str | None = None, drop: Sequence[str] = ()) -> DataFrame:
     """Adds the piece ids of each text, with the end id at the end if asked for.
 
     model: path of the model file on every machine.  Null counts as the empty
     text, which has no ids but the end id.  One narrow pass: no shuffle.
+    decoded: name of a further column with the text that the ids decode to, if
+    wanted in the same pass.
     """
 
     def make():
-        enc, end = encoder(model), load(model).end
+        enc, m = encoder(model), load(model)
 
         def run(batch):
-            values, sizes = [], []
+            values, sizes, texts = [], [], []
             for _, _, data, offsets in blocks(batch.column(batch.schema.get_field_index(text))):
                 got, first = enc.encode(data, offsets)
                 n = np.diff(first)
                 if end_id:
-                    got = np.insert(got, first[1:], end)
+                    got = np.insert(got, first[1:], m.end)
                     n = n + 1
                 values.append(got)
                 sizes.append(n)
-            return [_lists(values, sizes, pa.int32())]
+                if decoded:
+                    texts += m.decode(got, np.concatenate([[0], np.cumsum(n)]))
+            return [_lists(values, sizes, pa.int32()), *([pa.array(texts, pa.binary()).cast(pa.string())] if decoded else [])]
 
         return run
 
-    return extended(docs, [T.StructField(ids, T.ArrayType(T.IntegerType()))], make, drop)
+    fields = [T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])]
+    return extended(docs, fields, make, drop)
 
 
 def decoded(docs: DataFrame, model: str, ids: str = "ids", text: str = "decoded", drop: Sequence[str] = ()) -> DataFrame:
@@ -437,7 +442,7 @@ def _lists(values: list[np.ndarray], sizes: list[np.ndarray], kind: pa.DataType)
 
 def report(docs: DataFrame, model: str) -> DataFrame:
     """One row per document: n_tokens, ids_sha256, decoded_sha256."""
-    found = decoded(encoded(docs.select("doc_id", "text"), model, drop=["text"]), model)
+    found = encoded(docs.select("doc_id", "text"), model, decoded="decoded", drop=["text"])
     return found.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
