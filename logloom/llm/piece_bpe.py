@@ -440,11 +440,11 @@ def _lists(values: list[np.ndarray], sizes: list[np.ndarray], kind: pa.DataType)
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values), kind))
 
 
-def report(docs: DataFrame, model: str) -> DataFrame:
-    """One row per document: n_tokens, ids_sha256, decoded_sha256."""
+def report(docs: DataFrame, model: str, with_ids: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256, and the ids if asked for."""
     found = encoded(docs.select("doc_id", "text"), model, decoded="decoded", drop=["text"])
     return found.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"), *(["ids"] if with_ids else []),
     )
