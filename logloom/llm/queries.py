@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, near_embeddings, piece_bpe, quality, secret_scan, token_store
+from . import decontaminate, jaccard_join, license_scan, near_embeddings, piece_bpe, quality, secret_scan, sharding, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,14 @@ def op1_embedding_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame
     return near_embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+#: Shards of the sharding query.
+SHARDS = [f"shard-{i:03d}" for i in range(64)]
+
+
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.placed(_table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", SHARDS)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -34,6 +42,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.report(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -45,10 +57,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_near_duplicates": op1_embedding_near_duplicates,
+        "op2_sharding": op2_sharding,
         "op3_decontamination": op3_decontamination,
         "op4_secret_scan": op4_secret_scan,
         "op5_sentencepiece": op5_sentencepiece,
         "op6_token_files": op6_token_files,
+        "op8_license_scan": op8_license_scan,
         "op9_quality": op9_quality,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     }
@@ -65,6 +79,10 @@ c AS (SELECT s, min(t) AS component_id FROM r GROUP BY s),
 n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
 SELECT v.vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, v.vec_id = component_id AS kept
 FROM v JOIN c ON v.vec_id = c.s LEFT JOIN n ON n.a = v.vec_id""",
+        "op2_sharding": f"""
+WITH s AS (SELECT doc_id, source, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15)) AS BIGINT) % {sharding.SLOTS} AS slot FROM documents),
+t AS (SELECT unnest(range({sharding.SLOTS})) AS slot, unnest({sharding.lookup_table(SHARDS)}) AS shard)
+SELECT s.doc_id, s.source, s.slot, CAST(t.shard AS INTEGER) AS shard FROM s JOIN t USING (slot)""",
         "op3_decontamination": r"""
 WITH w AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
 p AS (SELECT DISTINCT item_id, least(10, len(ws)) AS n, array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') AS t FROM w, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS r(i) WHERE len(ws) > 0),
