@@ -7,10 +7,12 @@ meet at a shingle and lie in one band of sizes (no two neighbours in size
 further apart than 4/5) join the tile of the band's first text; a group of
 copies that meets at many shingles thus lands in few tiles rather than in pairs
 for each shingle.  A tile compares all its texts by bitmap: every shingle flips
-one of some thousand bits, so the bits in which two bitmaps differ bound the
-difference of the sets from below and the overlap from above.  Pairs that may
-still reach the threshold, and are not yet connected, are settled by
-intersecting the sorted arrays.
+one of at least as many bits, so the bits in which two bitmaps differ bound the
+difference of the sets from below and the overlap from above.  Only texts with
+a partner that may still reach the threshold go on, in groups that such pairs
+connect (a group found in several tiles goes on once).  There the texts
+themselves meet, and pairs not yet connected are settled by intersecting the
+sorted arrays.
 
 "Rarest" goes by a fixed-size table of hashed document counts over the whole
 corpus.  It only sets the order of shingles, the same for all texts, so it
@@ -30,11 +32,15 @@ from pyspark.sql import types as T
 
 from .forest import block_tasks, united
 from .graph import components
-from .runtime import shared_dir, ship, stored
+from .runtime import released, shared_dir, ship, stored
 from .textarrays import SPACED, blocks, mix, ngram_hashes, words
 
 #: Hashed document counts (4 bytes each) and the parts in which tasks send them.
-SLOTS, PARTS = 1 << 20, 16
+SLOTS, PARTS = 1 << 22, 16
+#: Most bits of a text's bitmap (the least are 64; in between twice the number of shingles).
+MAX_BITS = 4096
+#: Most bits of the table that tells which texts are wanted again (16 MB).
+WANTED_BITS = 27
 #: Texts of a block within a tile; larger tiles are split.
 BLOCK = 2048
 
@@ -57,33 +63,49 @@ def _node(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix((total[first[1:]] - total[first[:-1]]) + np.diff(first).astype(np.uint64)).view(np.int64)
 
 
+def _row_bitmaps(h: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """A bitmap of each set in which every element flips one bit; its size depends on the set's alone."""
+    size = np.diff(first)
+    bits = _bits(size)
+    at = np.cumsum(bits) - bits
+    text = np.repeat(np.arange(len(size)), size)
+    flips = np.bincount(at[text] + (h >> np.uint64(20) & (bits[text] - 1).astype(np.uint64)).astype(np.int64), minlength=int(bits.sum())).astype(np.uint8) & 1
+    raw = np.packbits(flips, bitorder="little").tobytes()
+    return [raw[a // 8 : (a + b) // 8] for a, b in zip(at.tolist(), bits.tolist(), strict=True)]
+
+
+def _bits(size: np.ndarray) -> np.ndarray:
+    return np.left_shift(1, np.clip(np.ceil(np.log2(np.maximum(2 * size, 1))).astype(np.int64), 6, MAX_BITS.bit_length() - 1))
+
+
 def _scan(docs: DataFrame, text: str, n: int) -> DataFrame:
-    """Of each row its name (null if it has no words) and size; and the corpus's hashed counts as rows with a part."""
-    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema if f.name != text), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("part", T.IntegerType()), T.StructField("counts", T.BinaryType())])
+    """Of each row its name (null if it has no words), size and bitmap; and the corpus's hashed counts as rows with a part."""
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema if f.name != text), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("bitmap", T.BinaryType()), T.StructField("part", T.IntegerType()), T.StructField("counts", T.BinaryType())])
     kept = [i for i, c in enumerate(docs.columns) if c != text]
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, like = np.zeros(SLOTS, np.uint32), None
         for batch in batches:
-            like, names, sizes = batch, [], []
+            like, names, sizes, maps = batch, [], [], []
             for _, _, data, offsets in blocks(batch.column(at)):
                 h, first = _sets(data, offsets, n)
                 counts += np.bincount((h & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
                 names.append(_node(h, first))
                 sizes.append(np.diff(first))
+                maps += _row_bitmaps(h, first)
             if names:
                 size = np.concatenate(sizes)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(np.concatenate(names), mask=size == 0), pa.array(size), pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(np.concatenate(names), mask=size == 0), pa.array(size), pa.array(maps, pa.binary()), pa.nulls(len(size), pa.int32()), pa.nulls(len(size), pa.binary())], names=schema.names)
         if like is not None:
             sent = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, PARTS)]
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(PARTS, like.column(i).type) for i in kept), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.array(range(PARTS), pa.int32()), pa.array(sent, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(PARTS, like.column(i).type) for i in kept), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array(sent, pa.binary())], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
 def _summed(counts: DataFrame) -> np.ndarray:
-    """The corpus's counts: PARTS rows, 4 MB in all, whatever the corpus's size."""
+    """The corpus's counts: PARTS rows, 16 MB in all, whatever the corpus's size."""
 
     def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS // PARTS, np.uint64)
@@ -234,30 +256,91 @@ def connected(h: np.ndarray, first: np.ndarray, left: np.ndarray, right: np.ndar
     return parent
 
 
-def _joined(members: DataFrame, n: int, block: int) -> DataFrame:
-    """Edges (a, b) that connect the texts of each tile: one for each text that isn't its component's first."""
+def _may_link(n: np.ndarray, maps: list[bytes]) -> np.ndarray:
+    """Roots of the texts under pairs whose bitmaps leave them a chance to link; n ascends."""
+    parent = np.arange(len(n))
+    bits = _bits(n)
+    kinds = np.unique(bits)
+    table = {k: np.frombuffer(b"".join(maps[i] for i in np.flatnonzero(bits == k).tolist()), np.uint64).reshape(-1, k // 64) for k in kinds.tolist()}
+    for k in kinds.tolist():
+        rows = np.flatnonzero(bits == k)
+        _compare(n, parent, rows, table[k], rows, table[k])
+        if 2 * k in table:  # the larger bitmaps fold onto the smaller size
+            _compare(n, parent, rows, table[k], np.flatnonzero(bits == 2 * k), table[2 * k][:, : k // 64] ^ table[2 * k][:, k // 64 :])
+    return parent
+
+
+def _compare(n, parent, left, left_maps, right, right_maps) -> None:
+    step = max(1, min(64, (1 << 20) // max(1, len(right))))
+    for a in range(0, len(left), step):
+        rows = left[a : a + step]
+        hi = int(np.searchsorted(n[right], 5 * n[rows[-1]] // 4, "right"))
+        lo = int(np.searchsorted(n[right], n[rows[0]]))
+        cols = right[lo:hi]
+        if not len(cols):
+            continue
+        differ = np.zeros((len(rows), len(cols)), np.int32)
+        for k in range(left_maps.shape[1]):
+            differ += np.bitwise_count(left_maps[a : a + step, k][:, None] ^ right_maps[lo:hi, k])
+        both = n[rows][:, None] + n[cols]
+        i, j = np.nonzero((9 * ((both - differ) // 2) >= 4 * both) & (rows[:, None] != cols))
+        united(parent, rows[i], cols[j])
+
+
+def _groups_to_settle(members: DataFrame, block: int) -> DataFrame:
+    """Group and node of the texts that may link in some tile; members: tile, node, n, bitmap."""
     sizes = members.groupBy("tile").agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).alias("nb"))
     own = F.pmod(F.xxhash64("node"), "nb").cast("int")
-    tasks = members.join(sizes, "tile").withColumn("b", own).withColumn("task", F.explode(block_tasks(F.col("nb"), F.col("b"))))
-    tasks = tasks.select("tile", "task.bi", "task.bj", "b", "node", "text")
+    tasks = members.join(sizes, "tile").withColumn("task", F.explode(block_tasks(F.col("nb"), own)))
 
     def run(table: pa.Table) -> pa.Table:
-        bi, bj = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
-        b, want = table.column("b").to_numpy(), table.column("node").to_numpy()
+        n, node = table.column("n").to_numpy(), table.column("node").to_numpy()
+        order = np.lexsort((node, n))
+        maps = table.column("bitmap").to_pylist()
+        node = node[order]
+        root = _may_link(n[order], [maps[i] for i in order.tolist()])
+        some = np.bincount(root, minlength=len(root))[root] > 1
+        total = np.zeros(len(root), np.uint64)
+        np.add.at(total, root[some], mix(node[some].view(np.uint64) ^ np.uint64(0x2545F4914F6CDD1D)))
+        return pa.table([pa.array(mix(total)[root[some]].view(np.int64)), pa.array(node[some])], names=["tile", "node"])
+
+    return tasks.select("tile", "task.bi", "task.bj", "node", "n", "bitmap").groupBy("tile", "bi", "bj").applyInArrow(run, "tile long, node long").distinct()
+
+
+def _settled(members: DataFrame, n: int) -> DataFrame:
+    """Edges (a, b) that connect the linked texts of each group: one for each text that isn't its component's first."""
+
+    def run(table: pa.Table) -> pa.Table:
+        want = table.column("node").to_numpy()
         hs, sizes, names = [], [], []
         for _, _, data, offsets in blocks(table.column("text").combine_chunks()):
             h, first = _sets(data, offsets, n)
             hs.append(h), sizes.append(np.diff(first)), names.append(_node(h, first))
         h, first = np.concatenate(hs), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-        fits = np.concatenate(names) == want  # rows that merely bear the wanted row's id and text hash
+        fits = np.concatenate(names) == want  # rows that merely bear the wanted row's hash
         _, one = np.unique(want[fits], return_index=True)
         rows = np.flatnonzero(fits)[one]
-        left = rows[b[rows] == bi]
-        parent = connected(h, first, left, None if bi == bj else rows[b[rows] == bj])
+        parent = connected(h, first, rows, None)
         moved = rows[parent[rows] != rows]
         return pa.table([pa.array(want[moved]), pa.array(want[parent[moved]])], names=["a", "b"])
 
-    return tasks.groupBy("tile", "bi", "bj").applyInArrow(run, "a long, b long")
+    return members.groupBy("tile").applyInArrow(run, "a long, b long")
+
+
+def _fetched(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and text of the wanted texts (loc, node), one row each.
+
+    A table of at most 2**WANTED_BITS bits of hashed locators, broadcast in rows
+    of 4 KB, keeps most other texts out of the exchange; the join on the
+    locator itself then decides.
+    """
+    bits = 1 << min(WANTED_BITS, max(16, (16 * wanted.count()).bit_length()))
+    bit = F.pmod(F.xxhash64(F.lit(5), "loc"), F.lit(bits))
+    row, at = (bit / 32768).cast("int"), (bit % 32768).cast("int")
+    marks = wanted.select(row.alias("row"), at.cast("long").alias("at")).groupBy("row").agg(F.bitmap_construct_agg("at").alias("marks"))
+    byte = F.conv(F.hex(F.expr("substring(marks, at div 8 + 1, 1)")), 16, 10).cast("int")
+    likely = source.withColumns({"row": row, "at": at}).join(F.broadcast(marks), "row").where(F.getbit(byte, F.col("at") % 8) == 1)
+    return likely.select("loc", "text").join(wanted, "loc").dropDuplicates(["loc"]).select("node", "text")
 
 
 def groups(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
@@ -278,13 +361,17 @@ def groups(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: str
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     source = source.withColumn("loc", F.xxhash64("doc_id", "text"))  # finds a set's text again
     scan = stored(_scan(source, "text", shingle), f"{folder}/scan")
-    rows = scan.where("part is null").select("doc_id", "loc", "node", "n")
+    rows = scan.where("part is null").select("doc_id", "loc", "node", "n", "bitmap")
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("lo"), F.min("loc").alias("loc"))
+    maps = rows.where("node is not null").select("node", "n", "bitmap")
     counts = spark.sparkContext.broadcast(_summed(scan.where("part is not null").select("part", "counts")))
-    members = stored(_tiles(_postings(source.select("text"), counts, shingle)), f"{folder}/members")
-    wanted = nodes.join(members.select("node").distinct(), "node").select("node", "loc")
-    texts = source.select("loc", "text").join(wanted, "loc").dropDuplicates(["loc"]).select("node", "text")
-    edges = stored(_joined(members.join(texts, "node"), shingle, block), f"{folder}/edges")
+    tiles = stored(_tiles(_postings(source.select("text"), counts, shingle)), f"{folder}/tiles")
+    released(spark)
+    met = maps.join(tiles.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    members = stored(_groups_to_settle(tiles.join(met, "node"), block), f"{folder}/members")
+    wanted = stored(nodes.join(members.select("node").distinct(), "node").select("node", "loc"), f"{folder}/wanted")
+    edges = stored(_settled(members.join(_fetched(source, wanted), "node"), shingle), f"{folder}/edges")
+    released(spark)
     known = nodes.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = known.groupBy("root").agg(F.min("lo").alias("component_id"))
     known = known.join(least, "root").select("node", "component_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -56,3 +57,13 @@ def dropped(spark: SparkSession, *paths: str) -> None:
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of steps whose results are stored.
+
+    Its cleaner works when the driver's objects for a plan are collected, which
+    may otherwise be long after.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
