@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, license_scan, near_embeddings, piece_bpe, quality, secret_scan, sharding, token_store
+from . import backoff_lm, decontaminate, jaccard_join, license_scan, near_embeddings, piece_bpe, quality, secret_scan, sharding, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.report(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.report(_table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.report(_table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secret_scan": op4_secret_scan,
         "op5_sentencepiece": op5_sentencepiece,
         "op6_token_files": op6_token_files,
+        "op7_backoff_scores": op7_backoff_scores,
         "op8_license_scan": op8_license_scan,
         "op9_quality": op9_quality,
         "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
@@ -94,6 +99,21 @@ m AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ks FR
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(ks, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)""",
+        "op7_backoff_scores": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS n, i, w[i] AS a, CASE WHEN i > 1 THEN w[i - 1] || ' ' || w[i] END AS b, CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] END AS c FROM d, unnest(range(1, len(w) + 1)) AS r(i)),
+x AS (SELECT *, count(*) OVER () AS total,
+  count(*) OVER (PARTITION BY a) - count(*) OVER (PARTITION BY doc_id, a) AS c1,
+  count(*) OVER (PARTITION BY b) - count(*) OVER (PARTITION BY doc_id, b) AS c2,
+  count(*) OVER (PARTITION BY c) - count(*) OVER (PARTITION BY doc_id, c) AS c3 FROM p),
+y AS (SELECT *, lag(c1) OVER (PARTITION BY doc_id ORDER BY i) AS p1, lag(c2) OVER (PARTITION BY doc_id ORDER BY i) AS p2 FROM x),
+s AS (SELECT doc_id, CASE
+  WHEN c IS NOT NULL AND c3 > 0 THEN ln(c3 / p2)
+  WHEN b IS NOT NULL AND c2 > 0 THEN ln(c2 / p1) + CASE WHEN c IS NULL THEN 0 ELSE ln(0.4) END
+  ELSE ln(greatest(c1, 0.5) / greatest(total - n, 1)) + CASE WHEN b IS NULL THEN 0 WHEN c IS NULL THEN ln(0.4) ELSE 2 * ln(0.4) END END AS z,
+  CASE WHEN c IS NOT NULL THEN c3 = 0 WHEN b IS NOT NULL THEN c2 = 0 ELSE false END AS lower FROM y)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(k, 0) AS BIGINT) AS n_backoff, round(z / len(w), 6) AS mean_log_score
+FROM d LEFT JOIN (SELECT doc_id, sum(z) AS z, count(*) FILTER (lower) AS k FROM s GROUP BY doc_id) USING (doc_id)""",
         "op10_ngram_jaccard_join": r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS r(i) WHERE len(w) > 0),
