@@ -6,14 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def merged(records: DataFrame) -> DataFrame:
+def merged(records: DataFrame, union_sites: bool = False) -> DataFrame:
     """One record per address: that of the highest rid, and of those the greatest; records without an address are dropped.
 
-    An aggregation that keeps one record per address and task before the exchange.
+    An aggregation that keeps one record per address and task before the
+    exchange.  union_sites: source_sites are those of all the address's records,
+    as rebalancing may have dealt its tuples to several partitions.
     """
     rest = [c for c in records.columns if c not in ("ip", "rid")]
-    kept = records.where("ip is not null").groupBy("ip").agg(F.max(F.struct("rid", *rest)).alias("r"))
-    return kept.select("ip", *[F.col(f"r.{c}") for c in rest])
+    aggregates = [F.max(F.struct("rid", *rest)).alias("r")]
+    if union_sites:  # explode first, so that the partial aggregation holds a few distinct sites
+        records = records.withColumn("__site", F.explode_outer("source_sites"))
+        aggregates.append(F.sort_array(F.collect_set("__site")).alias("__sites"))
+    kept = records.where("ip is not null").groupBy("ip").agg(*aggregates)
+    return kept.select("ip", *[F.col("__sites" if union_sites and c == "source_sites" else f"r.{c}").alias(c) for c in rest])
 
 
 def upserted(table: DataFrame, records: DataFrame) -> DataFrame:

@@ -84,7 +84,7 @@ def run(spark: SparkSession, dataset: Dataset, to: str, config: PipelineConfig |
     with_retries(lambda: write_partitions(partition_records(local, config.compat_source_sites), f"{to}/intermediate"), config)
     records = spark.read.parquet(f"{to}/intermediate") if exists(spark, f"{to}/intermediate/rid=*") else None
     if records is not None:
-        with_retries(lambda: write_store(merge.merged(records), f"{to}/store", "parquet"), config)
+        with_retries(lambda: write_store(merge.merged(records, not config.compat_source_sites), f"{to}/store", "parquet"), config)
     totals = dedup.pipeline_counts(lines, tuples).first().asDict()
     seconds = time.perf_counter() - began
     return totals | figures | rebalance.steal_stats(moves) | {"sampling_skew": sampling_skew, "duration_s": seconds, "rows_per_s": totals["rows_read"] / seconds, "ips_per_s": totals["ip_global"] / seconds, "strategy": config.strategy, "n_reducers": config.n_reducers}
