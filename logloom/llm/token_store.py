@@ -41,6 +41,8 @@ RANK_EVERY = 512
 #: Ids after which a task begins its next file.
 FILE_IDS = 16 << 20
 WIDTHS = (8, 8, 16)
+#: Chunks of text whose ids a worker remembers, about 60 bytes each.
+REMEMBERED = 1_200_000
 
 
 # -- the format ------------------------------------------------------------------
@@ -193,7 +195,7 @@ class _Tokenizer:
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        self.cache = ChunkCache(self._strings)
+        self.cache = ChunkCache(self._strings, REMEMBERED)
 
     def _strings(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = [e.ids for e in self.own.encode_batch_fast(strings, add_special_tokens=False)]
