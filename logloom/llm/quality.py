@@ -164,8 +164,10 @@ def scored(docs: DataFrame, weights: np.ndarray, text: str = "text", score: str
             out = []
             for _, _, data, offsets in blocks(batch.column(batch.schema.get_field_index(text))):
                 i, x, first = features(data, offsets)
-                total = np.concatenate([[0.0], np.cumsum(w[i] * x)])
-                out.append(_sigmoid(w[-1] + total[first[1:]] - total[first[:-1]]))
+                total = np.zeros(len(first) - 1)
+                some = first[1:] > first[:-1]  # each text's sum on its own: it doesn't depend on the texts around it
+                total[some] = np.add.reduceat(w[i] * x, first[:-1][some]) if len(i) else 0.0
+                out.append(_sigmoid(w[-1] + total))
             return [pa.array(np.concatenate(out))]
 
         return run
