@@ -34,12 +34,12 @@ from pyspark.sql import types as T
 
 from .chunkcache import ChunkCache
 from .runtime import shared_dir, ship, stored
-from .textarrays import blocks
+from .textarrays import BLOCK, blocks
 
 MAGIC = b"DACIDS01"
 RANK_EVERY = 512
 #: Ids after which a task begins its next file.
-FILE_IDS = 16 << 20
+FILE_IDS = 4 << 20
 WIDTHS = (8, 8, 16)
 #: Chunks of text whose ids a worker remembers, about 60 bytes each.
 REMEMBERED = 1_200_000
@@ -256,7 +256,7 @@ def written(docs: DataFrame, model: str, to: str | None = None, end_id: int = 2,
 
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            for a, b, data, offsets in blocks(batch.column(1)):
+            for a, b, data, offsets in blocks(batch.column(1), min(BLOCK, file_ids)):
                 got, first = enc.encode(data, offsets)
                 held.append(np.insert(got, first[1:], end_id))
                 sizes.append(np.diff(first) + 1)
