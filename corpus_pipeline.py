@@ -25,8 +25,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near duplicates the document with the least doc_id.
 
-    Rows that repeat a kept doc_id all stay unless they also repeat the group's
-    text: those are told apart by group, so one row of each group and id stays.
+    Rows that share that doc_id all stay; a group whose ids are all null stays whole.
     """
     groups = jaccard_join.groups(docs)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()

@@ -41,8 +41,8 @@ SLOTS, PARTS = 1 << 22, 16
 MAX_BITS = 4096
 #: Most bits of the table that tells which texts are wanted again (16 MB).
 WANTED_BITS = 27
-#: Texts of a block within a tile; larger tiles are split.
-BLOCK = 2048
+#: Texts of a block within a tile, and their shingles; larger tiles are split.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -289,7 +289,7 @@ def _compare(n, parent, left, left_maps, right, right_maps) -> None:
 
 def _groups_to_settle(members: DataFrame, block: int) -> DataFrame:
     """Group and node of the texts that may link in some tile; members: tile, node, n, bitmap."""
-    sizes = members.groupBy("tile").agg(F.greatest(F.ceil(F.count("*") / block), F.lit(1)).alias("nb"))
+    sizes = members.groupBy("tile").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES), F.lit(1)).alias("nb"))
     own = F.pmod(F.xxhash64("node"), "nb").cast("int")
     tasks = members.join(sizes, "tile").withColumn("task", F.explode(block_tasks(F.col("nb"), own)))
 
@@ -362,17 +362,17 @@ def groups(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: str
     source = source.withColumn("loc", F.xxhash64("doc_id", "text"))  # finds a set's text again
     scan = stored(_scan(source, "text", shingle), f"{folder}/scan")
     rows = scan.where("part is null").select("doc_id", "loc", "node", "n", "bitmap")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("lo"), F.min("loc").alias("loc"))
-    maps = rows.where("node is not null").select("node", "n", "bitmap")
+    grouped = rows.where("node is not null").groupBy("node")
+    nodes = stored(grouped.agg(F.min("doc_id").alias("lo"), F.min("loc").alias("loc"), F.min("n").alias("n"), F.min("bitmap").alias("bitmap")), f"{folder}/nodes")
     counts = spark.sparkContext.broadcast(_summed(scan.where("part is not null").select("part", "counts")))
     tiles = stored(_tiles(_postings(source.select("text"), counts, shingle)), f"{folder}/tiles")
     released(spark)
-    met = maps.join(tiles.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    members = stored(_groups_to_settle(tiles.join(met, "node"), block), f"{folder}/members")
+    met = tiles.join(nodes.select("node", "n", "bitmap"), "node")
+    members = stored(_groups_to_settle(met, block), f"{folder}/members")
     wanted = stored(nodes.join(members.select("node").distinct(), "node").select("node", "loc"), f"{folder}/wanted")
     edges = stored(_settled(members.join(_fetched(source, wanted), "node"), shingle), f"{folder}/edges")
     released(spark)
-    known = nodes.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = nodes.select("node", "lo").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = known.groupBy("root").agg(F.min("lo").alias("component_id"))
     known = known.join(least, "root").select("node", "component_id")
     alone = rows.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
