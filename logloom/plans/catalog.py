@@ -312,9 +312,9 @@ SELECT *, 'skew' AS variant FROM ({_skew_sql("(SELECT rids.rid, count(ip) AS rec
         "q14_equal_width_counts": "SELECT rid, received FROM ew",
         "q15_range_vs_hash_skew": " UNION ALL ".join(f"SELECT *, '{k}' AS strategy FROM ({_skew_sql(t)})" for k, t in (("hash", "received"), ("range", "ranged"), ("equal_width", "ew"))),
         "q16_chunk_hit_rates": """SELECT rid, chunk_id, received, local_dup, global_dup, round(global_dup / received, 4) AS hit_rate FROM (
-SELECT rid, (rn - 1) // 256 AS chunk_id, count(*) AS received, count(*) FILTER (EXISTS (SELECT 1)  AND l > 1) AS local_dup, count(*) FILTER (g > 1) AS global_dup FROM (
+SELECT rid, (rn - 1) // 256 AS chunk_id, count(*) AS received, count(*) FILTER (l > 1) AS local_dup, count(*) FILTER (g > 1) AS global_dup FROM (
 SELECT *, row_number() OVER (PARTITION BY rid, ip ORDER BY rn) AS g, row_number() OVER (PARTITION BY rid, ip, (rn - 1) // 256 ORDER BY rn) AS l FROM (
-SELECT ip, rid, row_number() OVER (PARTITION BY rid ORDER BY site_id, line_no) AS rn FROM (SELECT ip, site_id, min(line_no) AS line_no FROM parsed WHERE ip <> '' GROUP BY ip, site_id) JOIN fnv USING (ip))) GROUP BY rid, (rn - 1) // 256)""".replace("EXISTS (SELECT 1)  AND ", ""),
+SELECT ip, rid, row_number() OVER (PARTITION BY rid ORDER BY site_id, line_no) AS rn FROM (SELECT ip, site_id, min(line_no) AS line_no FROM parsed WHERE ip <> '' GROUP BY ip, site_id) JOIN fnv USING (ip))) GROUP BY rid, (rn - 1) // 256)""",
         "q17_reducer_sites_compat": "SELECT rid, geo.ip, country, city, latitude, longitude, sites AS source_sites FROM geo JOIN fnv USING (ip) JOIN (SELECT rid, list_sort(list(DISTINCT site_id)) AS sites FROM routed GROUP BY rid) USING (rid)",
         "q18_merge_last_wins": """SELECT geo.ip, country, city, latitude, longitude, s AS source_sites FROM geo JOIN (
 SELECT ip, s, row_number() OVER (PARTITION BY ip ORDER BY rid DESC, s DESC) AS rn FROM (
