@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +18,22 @@ def first_occurrences(tuples: DataFrame) -> DataFrame:
     return tuples.groupBy("ip", "site_id").agg(F.min("line_no").alias("line_no"))
 
 
-def global_distinct(tuples: DataFrame) -> DataFrame:
-    """One row per address with the sites that it appears at, ascending."""
-    return tuples.groupBy("ip").agg(F.sort_array(F.collect_set("site_id")).alias("source_sites"))
+def global_distinct(tuples: DataFrame, sites: Iterable[int] | None = None) -> DataFrame:
+    """One row per address with the sites that it appears at, ascending.
+
+    sites: all site numbers that occur, where they are known and within 0 to 62.
+    An address's sites are then one bit mask, so that the aggregation is a plain
+    hash aggregation in generated code; sets of objects fall back to sorting
+    once a task holds more than a few addresses.
+    """
+    if sites is None:
+        return tuples.groupBy("ip").agg(F.sort_array(F.collect_set("site_id")).alias("source_sites"))
+    known = sorted(set(sites))
+    if known and not 0 <= known[0] <= known[-1] <= 62:
+        raise ValueError("site numbers from 0 to 62 fit a mask")
+    masks = tuples.groupBy("ip").agg(F.bit_or(F.expr("shiftleft(1L, site_id)")).alias("mask"))
+    listed = F.array(*[F.when(F.expr(f"getbit(mask, {i})") == 1, F.lit(i)) for i in known]).cast("array<int>")
+    return masks.select("ip", F.array_compact(listed).alias("source_sites"))
 
 
 def pipeline_counts(lines: DataFrame, tuples: DataFrame) -> DataFrame:

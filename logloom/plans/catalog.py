@@ -13,6 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import SITES
 from ..functions import CITIES, int_to_ip, ip_to_int, memory_estimate, parse_ip
 from ..operators import dedup, geo, merge, partitioning, rebalance, reports, skew, validate
 from ..sinks import write_csv, write_json_object
@@ -48,7 +49,7 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 def q01_geo_store(spark, d):
-    return pipeline.store(_tuples(spark, d))
+    return pipeline.store(_tuples(spark, d), SITES)
 
 
 def q02_parse_ip(spark, d):
@@ -60,7 +61,7 @@ def q03_local_distinct(spark, d):
 
 
 def q04_global_distinct(spark, d):
-    return dedup.global_distinct(_tuples(spark, d))
+    return dedup.global_distinct(_tuples(spark, d), SITES)
 
 
 def q05_pipeline_counts(spark, d):
@@ -154,7 +155,7 @@ def q20_extra_ips(spark, d):
 
 def q21_validation_report(spark, d):
     base = validate.baseline_ips(_log(spark, d))
-    good = validate.report(base, pipeline.store(_tuples(spark, d))).withColumn("input", F.lit("pipeline"))
+    good = validate.report(base, pipeline.store(_tuples(spark, d), SITES)).withColumn("input", F.lit("pipeline"))
     return good.unionByName(validate.report(base, _perturbed(base)).withColumn("input", F.lit("perturbed")))
 
 
@@ -181,7 +182,7 @@ def q25_raw_export(spark, d):
 
 
 def q26_country_rollup(spark, d):
-    return pipeline.store(_tuples(spark, d)).groupBy("country").agg(F.count("*").alias("ips"), F.countDistinct("city").alias("cities"))
+    return pipeline.store(_tuples(spark, d), SITES).groupBy("country").agg(F.count("*").alias("ips"), F.countDistinct("city").alias("cities"))
 
 
 def _networks(spark: SparkSession) -> DataFrame:
@@ -227,7 +228,7 @@ def q32_rebalance_counts(spark, d):
 
 def q33_json_store_roundtrip(spark, d):
     to = _folder(spark, "store")
-    write_json_object(pipeline.store(_tuples(spark, d)), to)
+    write_json_object(pipeline.store(_tuples(spark, d), SITES), to)
     return read_json_store(spark, to)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,13 +18,13 @@ from ..sources.logs import csv_lines, exists, log_lines
 R = TypeVar("R")
 
 
-def store(tuples: DataFrame) -> DataFrame:
+def store(tuples: DataFrame, sites: Iterable[int] | None = None) -> DataFrame:
     """One row per address with its location and the sites that it appears at.
 
     tuples may repeat: Catalyst plans a partial aggregation before the only
     exchange, and locations are computed after it, once per address.
     """
-    return geo.with_synthetic_geo(dedup.global_distinct(tuples)).select(*geo.FIELDS, "source_sites")
+    return geo.with_synthetic_geo(dedup.global_distinct(tuples, sites)).select(*geo.FIELDS, "source_sites")
 
 
 def routed(tuples: DataFrame, config: PipelineConfig, bounds: list[int] | None = None) -> DataFrame:

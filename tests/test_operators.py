@@ -23,8 +23,11 @@ def test_distincts_and_counts(spark, some):
     row = dedup.pipeline_counts(lines, t).first()
     local, ips = len(set(some)), len({i for i, _ in some})
     assert (row.rows_read, row.ip_local, row.ip_global, row.skipped) == (2000, local, ips, local - ips)
-    got = {r.ip: r.source_sites for r in dedup.global_distinct(t).collect()}
-    assert got == {i: sorted({s for j, s in some if j == i}) for i, _ in some}
+    want = {i: sorted({s for j, s in some if j == i}) for i, _ in some}
+    for sites in (None, [1, 2, 3, 4]):
+        assert {r.ip: r.source_sites for r in dedup.global_distinct(t, sites).collect()} == want
+    with pytest.raises(ValueError, match="mask"):
+        dedup.global_distinct(t, [1, 63])
 
 
 def test_empty_input(spark):
@@ -148,9 +151,9 @@ def test_speedup_and_scale(spark):
 
 
 def test_plan_aggregates_before_the_exchange_and_stays_in_the_jvm(spark, some):
-    plan = pipeline.store(tuples(spark, some))._jdf.queryExecution().executedPlan().toString()
+    plan = pipeline.store(tuples(spark, some), [1, 2, 3, 4])._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
-    assert plan.count("Exchange hashpartitioning") == 1 and "partial_collect_set" in plan
+    assert plan.count("Exchange hashpartitioning") == 1 and "partial_bit_or" in plan and "ObjectHashAggregate" not in plan
 
 
 def test_retries():
