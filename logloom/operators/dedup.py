@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import materialized
+
 
 def local_distinct(tuples: DataFrame) -> DataFrame:
     """Distinct (ip, site_id).  Each task drops its own repeats before anything moves."""
@@ -65,9 +67,10 @@ def numbered_tuples(routed: DataFrame, order: tuple[str, ...]) -> DataFrame:
     """Adds rn, the place of a row in its partition, without gathering a partition in one task.
 
     Rows are range-partitioned by (rid, order); a row's place is its place in its
-    range plus the sizes of the partition's ranges before it.
+    range plus the sizes of the partition's ranges before it.  Ranges come from a
+    sample that another run would draw anew, so the rows are written with theirs.
     """
-    sorted_ = routed.repartitionByRange("rid", *order).sortWithinPartitions("rid", *order).withColumn("__slice", F.spark_partition_id())
+    sorted_ = materialized(routed.repartitionByRange("rid", *order).withColumn("__slice", F.spark_partition_id()), "slices")
     sizes = sorted_.groupBy("rid", "__slice").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.partitionBy("rid").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1))
     starts = sizes.select("rid", "__slice", F.coalesce(before, F.lit(0)).alias("__before"))

@@ -6,9 +6,7 @@ The SQL restates each query on its own: addresses by another expression, FNV by
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +14,7 @@ from pyspark.sql import functions as F
 from ..config import SITES
 from ..functions import CITIES, int_to_ip, ip_to_int, memory_estimate, parse_ip
 from ..operators import dedup, geo, merge, partitioning, rebalance, reports, skew, validate
+from ..scratch import folder
 from ..sinks import write_csv, write_json_object
 from ..sources import completed_partitions, events_log, log_tuples, read_json_store
 from ..sources.logs import csv_lines, csv_tuples
@@ -38,13 +37,6 @@ def _routed(spark: SparkSession, sf_dir: str, variant: str = "balanced") -> Data
     return partitioning.hash_routed(dedup.local_distinct(_tuples(spark, sf_dir, variant)), N)
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder for files that a query writes and reads back: under spark.checkpoint.dir where that is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    made = tempfile.mkdtemp(prefix=f"logloom-{name}")
-    return f"{base.rstrip('/')}/{Path(made).name}" if base else Path(made).as_uri()
-
-
 # -- queries -----------------------------------------------------------------------
 
 
@@ -168,7 +160,7 @@ def q23_format_check(spark, d):
 
 
 def q24_csv_source(spark, d):
-    to = _folder(spark, "csv")
+    to = folder(spark, "csv")
     lines = _log(spark, d).select(F.concat(F.lit(" "), parse_ip(F.col("raw_line")), F.lit(" ")).alias("ip"), F.col("site_id").cast("string").alias("site"), F.concat(F.col("raw_line"), F.lit('\n"tail"')).alias("raw_line"))
     write_csv(lines, to)
     rows = csv_lines(spark, {1: to})
@@ -227,7 +219,7 @@ def q32_rebalance_counts(spark, d):
 
 
 def q33_json_store_roundtrip(spark, d):
-    to = _folder(spark, "store")
+    to = folder(spark, "store")
     write_json_object(pipeline.store(_tuples(spark, d), SITES), to)
     return read_json_store(spark, to)
 
@@ -237,7 +229,7 @@ def q34_speedup_table(spark, d):
 
 
 def q35_completed_partitions(spark, d):
-    to = _folder(spark, "parts")
+    to = folder(spark, "parts")
     fs = spark.sparkContext._jvm.org.apache.hadoop.fs
     for rid, text in ((0, "[]"), (2, ""), (3, "[1]")):
         p = fs.Path(f"{to}/reducer_{rid}.json")
@@ -249,7 +241,7 @@ def q35_completed_partitions(spark, d):
 
 def q36_stream_dedup(spark, d):
     stream = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).parquet(d, pathGlobFilter="events.parquet")
-    to = _folder(spark, "stream")
+    to = folder(spark, "stream")
     query = distinct_tuples(events_log(stream)).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{to}/checkpoint").trigger(availableNow=True).start(f"{to}/out")
     query.awaitTermination()
     return spark.read.schema("ip string, site_id int").parquet(f"{to}/out")
