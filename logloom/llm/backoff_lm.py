@@ -94,6 +94,13 @@ def _grams(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     return g, at + n - 1
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One page at a time, so that only one is unpacked."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _bounds(parts: int) -> np.ndarray:
     return np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
 
@@ -102,12 +109,11 @@ def _totals(pages: DataFrame, n: int, parts: int) -> DataFrame:
     """Corpus-wide counts of each page's distinct n-grams, in ascending order of hash: page, part, counts."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                g, count = np.unique(_grams(*_read(row), n)[0], return_counts=True)
-                cuts = [0, *np.searchsorted(g, _bounds(parts)).tolist(), len(g)]
-                some = [k for k in range(parts) if cuts[k] < cuts[k + 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([row["page"]] * len(some), pa.int64()), pa.array([_squeezed(np.diff(g[cuts[k] : cuts[k + 1]], prepend=np.uint64(0))) for k in some], pa.binary()), pa.array([_squeezed(count[cuts[k] : cuts[k + 1]]) for k in some], pa.binary())], names=["part", "page", "grams", "counts"])
+        for row in _rows(batches):
+            g, count = np.unique(_grams(*_read(row), n)[0], return_counts=True)
+            cuts = [0, *np.searchsorted(g, _bounds(parts)).tolist(), len(g)]
+            some = [k for k in range(parts) if cuts[k] < cuts[k + 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([row["page"]] * len(some), pa.int64()), pa.array([_squeezed(np.diff(g[cuts[k] : cuts[k + 1]], prepend=np.uint64(0))) for k in some], pa.binary()), pa.array([_squeezed(count[cuts[k] : cuts[k + 1]]) for k in some], pa.binary())], names=["part", "page", "grams", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
         grams = [np.cumsum(_spread(x.as_py()), dtype=np.uint64) for x in table.column("grams")]
@@ -153,9 +159,8 @@ def scored(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, doc_id
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_backoff", T.LongType()), T.StructField("log_score", T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                yield _page_scores(batch.slice(i, 1).to_pylist()[0], n_all, order, backoff)
+        for row in _rows(batches):
+            yield _page_scores(row, n_all, order, backoff)
 
     return pages.join(answers, "page", "left").mapInArrow(score, schema)
 

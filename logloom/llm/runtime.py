@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -65,5 +66,7 @@ def released(spark: SparkSession) -> None:
     Its cleaner works when the driver's objects for a plan are collected, which
     may otherwise be long after.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first lets go of what Python holds, the second finds it
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
