@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from .forest import block_tasks, united
 from .graph import components
-from .runtime import released, shared_dir, ship, stored
+from .runtime import dropped, released, shared_dir, ship, stored
 from .textarrays import SPACED, blocks, mix, ngram_hashes, words
 
 #: Hashed document counts (4 bytes each) and the parts in which tasks send them.
@@ -371,6 +371,7 @@ def groups(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: str
     members = stored(_groups_to_settle(met, block), f"{folder}/members")
     wanted = stored(nodes.join(members.select("node").distinct(), "node").select("node", "loc"), f"{folder}/wanted")
     edges = stored(_settled(members.join(_fetched(source, wanted), "node"), shingle), f"{folder}/edges")
+    dropped(spark, f"{folder}/tiles", f"{folder}/members", f"{folder}/wanted")
     released(spark)
     known = nodes.select("node", "lo").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = known.groupBy("root").agg(F.min("lo").alias("component_id"))
