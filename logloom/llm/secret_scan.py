@@ -35,19 +35,26 @@ _HEX = re.compile(r"[0-9a-f]{24,}", re.ASCII)
 _OPERATOR = re.compile(r"(?<![=!<>:+*/%&|^~-])(?::=|=>|[:=])(?![=:])", re.ASCII)
 _TARGET = re.compile(r"""(["'`]?)([A-Za-z_$][\w$.-]{0,63})\1\]?[ \t]*$""", re.ASCII)
 _TYPED = re.compile(r"""([A-Za-z_$][\w$.-]{0,63})[ \t]*:[ \t]*[A-Za-z_][\w.\[\]<>]{0,63}[ \t]*$""", re.ASCII)
-_QUOTED = re.compile(r'''[rbuf]{0,2}(?:"((?:[^"\\\n]|\\.){0,4096})"|'((?:[^'\\\n]|\\.){0,4096})'|`((?:[^`\\]|\\.){0,4096})`)''', re.ASCII)
+_QUOTED = re.compile(r'''[rbuf]{0,2}(?:"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)'|`((?:[^`\\]++|\\.)*+)`)''', re.ASCII)
 _NAME = re.compile(r"[A-Za-z_$][\w$.]{0,63}", re.ASCII)
-_BARE = re.compile(r"""[^\s#;,"'`{}()\[\]<>]{6,256}(?=[ \t]*(?:[#;,\r\n]|$))""")
-_JOIN = re.compile(r"[ \t]*\\?\r?\n?[ \t]*[+.][ \t]*\\?\r?\n?[ \t]*(?=[\"'`A-Za-z_$])", re.ASCII)
-_FLAG = re.compile(r"""(?<!\S)--?([A-Za-z][\w-]{2,63})[ \t]+(["']?)([^\s"'-][^\s"']{5,255})\2(?!\S)""", re.ASCII)
-_ELEMENT = re.compile(r"<([A-Za-z_][\w.-]{0,63})>([^<>\s]{6,256})</\1>", re.ASCII)
-_PAIR = re.compile(r"""(["'])([A-Za-z_][\w.-]{2,63})\1[ \t]*,[ \t]*(["'])([^"'\n]{6,256})\3""", re.ASCII)
+_BARE = re.compile(r"""[^\s#;,"'`{}()\[\]<>]*+""")
+_BARE_END = re.compile(r"[ \t]*+(?:[#;,\r\n]|$)")
+_JOIN = re.compile(r"[ \t]*+\\?\r?\n?[ \t]*+[+.][ \t]*+\\?\r?\n?[ \t]*+(?=[\"'`A-Za-z_$])", re.ASCII)
+_FLAG = re.compile(r"""(?<!\S)--?([A-Za-z][\w-]{2,63})[ \t]++(["']?)([^\s"'-][^\s"']{5,}+)\2(?!\S)""", re.ASCII)
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.-]{0,63})>([^<>\s]{6,}+)</\1>", re.ASCII)
+_PAIR = re.compile(r"""(["'])([A-Za-z_][\w.-]{2,63})\1[ \t]*+,[ \t]*+(["'])([^"'\n]{6,}+)\3""", re.ASCII)
 
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", re.ASCII)
 _STRONG = re.compile(r"(?:^|_)(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api_?key|(?:access|private|secret|signing|encryption|master|auth|account)_key|credentials?|bearer|conn(?:ection)?_str(?:ing)?)(?:_|$)", re.ASCII)
 _WEAK = re.compile(r"(?:^|_)(?:key|auth|authorization|pin|salt|signature|session|cookie|dsn|cert)(?:_|$)", re.ASCII)
 _HARMLESS = re.compile(r"(?:^|_)public_|_(?:id|name|file|path|url|uri|type|length|size|count|field|header|label|hint|policy|regex|ttl|expiry|version)$", re.ASCII)
-_PLACEHOLDER = re.compile(r"^(?:<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|\$\(.*\)|x+|\*+|\.+|-+|0+|(?:your|my|the|an?)[_ -].*|.*(?:example|changeme|change_me|placeholder|redacted|dummy|sample|todo|fixme).*|none|null|undefined|true|false)$", re.ASCII | re.IGNORECASE)
+_ENDS = r"<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|\$\(.*\)|x+|\*+|\.+|-+|0+|(?:your|my|the|an?)[_ -].*"
+_WORD = r"example|changeme|change_me|placeholder|redacted|dummy|sample|todo|fixme"
+_PLACEHOLDER = re.compile(rf"^(?:{_ENDS}|.*(?:{_WORD}).*|none|null|undefined|true|false)$", re.ASCII | re.IGNORECASE)
+_PLACEHOLDER_ENDS = re.compile(rf"^(?:{_ENDS})$", re.ASCII | re.IGNORECASE)
+_PLACEHOLDER_WORD = re.compile(_WORD, re.ASCII | re.IGNORECASE)
+#: Characters that a make keeps of each end; more than any placeholder word has.
+_EDGE = 32
 
 
 def name_weight(name: str) -> float:
@@ -58,15 +65,66 @@ def name_weight(name: str) -> float:
     return 1.0 if _STRONG.search(plain) else 0.5 if _WEAK.search(plain) else 0.0
 
 
+class Make:
+    """What a weight depends on: length, counts of characters, both ends, and whether a placeholder's word stands inside.
+
+    Makes of neighbouring texts add up to that of the whole, so texts that share parts are read once.
+    """
+
+    __slots__ = ("n", "counts", "head", "tail", "word")
+
+    def __init__(self, text: str = ""):
+        self.n, self.counts, self.head, self.tail = len(text), Counter(text), text[:_EDGE], text[-_EDGE:]
+        self.word = bool(_PLACEHOLDER_WORD.search(text))
+
+    def __add__(self, other: Make) -> Make:
+        out = Make()
+        out.n, out.counts = self.n + other.n, self.counts.copy()
+        for c, k in other.counts.items():
+            out.counts[c] += k
+        out.head, out.tail = (self.head + other.head if self.n < _EDGE else self.head)[:_EDGE], (self.tail + other.tail if other.n < _EDGE else other.tail)[-_EDGE:]
+        out.word = self.word or other.word or bool(_PLACEHOLDER_WORD.search(self.tail + other.head))
+        return out
+
+    def is_placeholder(self) -> bool:
+        """Whether _PLACEHOLDER matches; a word inside a long text without blanks, as keys have by chance, doesn't count."""
+        if self.n <= _EDGE:
+            return bool(_PLACEHOLDER.match(self.head))
+        if self.word and (self.n <= 256 or self.has_space()) and self.counts["\n"] == self.tail.endswith("\n"):
+            return True
+        # one character stands for all between the ends
+        inside = "\n" if self.counts["\n"] > self.tail.endswith("\n") else "" if self.counts.keys() <= {"x", "X"} or len(self.counts) == 1 else "\x01"
+        return bool(_PLACEHOLDER_ENDS.match(self.head + inside + self.tail))
+
+    def has_space(self) -> bool:
+        return any(c.isspace() for c in self.counts)
+
+    def weight(self) -> float:
+        if self.n < 6 or self.is_placeholder():
+            return -1.0
+        n = self.n
+        entropy = -sum(c / n * math.log2(c / n) for c in self.counts.values())
+        weight = 0.5 if entropy >= 3 else 0.25 if entropy >= 2.5 else 0.0
+        weight += 0.25 * (any(c.isdigit() for c in self.counts) and any(c.isalpha() for c in self.counts)) + 0.25 * (n >= 16)
+        return weight - 0.75 * self.has_space() - 0.5 * self.head.startswith(("http://", "https://", "/", "./"))
+
+
 def literal_weight(value: str) -> float:
     """How much a literal looks like a secret, -1 to 1."""
-    if len(value) < 6 or _PLACEHOLDER.match(value):
-        return -1.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    weight = 0.5 if entropy >= 3 else 0.25 if entropy >= 2.5 else 0.0
-    weight += 0.25 * (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)) + 0.25 * (n >= 16)
-    return weight - 0.75 * any(c.isspace() for c in value) - 0.5 * value.startswith(("http://", "https://", "/", "./"))
+    return Make(value).weight()
+
+
+def _makes(text: str, spans: set[tuple[int, int]]) -> dict[tuple[int, int], Make]:
+    """The make of each stretch; of those that end at one place the longer adds to the shorter."""
+    out: dict[tuple[int, int], Make] = {}
+    last = None
+    for end, start in sorted(((b, a) for a, b in spans), key=lambda x: (x[0], -x[1])):
+        if last and last[1] == end:
+            out[start, end] = Make(text[start : last[0]]) + out[last]
+        else:
+            out[start, end] = Make(text[start:end])
+        last = start, end
+    return out
 
 
 def _base(text: str) -> list[tuple]:
@@ -78,9 +136,17 @@ def _base(text: str) -> list[tuple]:
     return out + [("hex", m.start(), m.end(), m.start(), "", 1.0) for m in _HEX.finditer(text)]
 
 
+def _bare(text: str, at: int) -> tuple[int, int, int]:
+    """Begin and end of a run of bare characters, and its last digit (-1 if none, or if no value may end there)."""
+    end = _BARE.match(text, at).end()
+    digits = (i for i in range(end - 1, at - 1, -1) if text[i].isdigit())
+    return at, end, next(digits, -1) if _BARE_END.match(text, end) else -1
+
+
 def _pairs(text: str):
-    """(target name, [(value, start, end) of each literal that makes up its value]) in the order of the text."""
-    constants: dict[str, list[tuple[str, int, int]]] = {}
+    """(target name, [(start, end) of each literal that makes up its value]) in the order of the text."""
+    constants: dict[str, list[tuple[int, int]]] = {}
+    bare = (0, 0, -1)  # begin, end and last digit of the run of bare characters met last, read once for all places in it
     for op in _OPERATOR.finditer(text):
         at = op.end()
         if text.startswith("//", at):
@@ -92,21 +158,22 @@ def _pairs(text: str):
         name = m[m.lastindex]
         while at < len(text) and text[at] in " \t":
             at += 1
-        parts: list[tuple[str, int, int]] = []
+        parts: list[tuple[int, int]] = []
         whole = True
         while True:
             if q := _QUOTED.match(text, at):
-                k = q.lastindex
-                if k:
-                    parts.append((q[k], q.start(k), q.end(k)))
+                parts.append(q.span(q.lastindex))
                 at = q.end()
             elif (i := _NAME.match(text, at)) and i[0] in constants:
                 parts += constants[i[0]]
                 at = i.end()
-            elif not parts and (b := _BARE.match(text, at)) and any(c.isdigit() for c in b[0]):
-                parts.append((b[0], b.start(), b.end()))
-                break
             else:
+                if not parts:
+                    if not bare[0] <= at < bare[1]:
+                        bare = _bare(text, at)
+                    if bare[2] >= at and bare[1] - at >= 6:
+                        parts.append((at, bare[1]))
+                        break
                 whole = False
                 break
             if not (j := _JOIN.match(text, at)):
@@ -120,7 +187,7 @@ def _pairs(text: str):
             constants.pop(name, None)
     for pattern, name, value in ((_FLAG, 1, 3), (_ELEMENT, 1, 2), (_PAIR, 2, 4)):
         for m in pattern.finditer(text):
-            yield m[name], [(m[value], m.start(value), m.end(value))]
+            yield m[name], [m.span(value)]
 
 
 def findings(text: str | None) -> list[tuple[str, int, int, int, str, float]]:
@@ -130,12 +197,12 @@ def findings(text: str | None) -> list[tuple[str, int, int, int, str, float]]:
     found = _base(text)
     if "=" in text or ":" in text or "--" in text or "</" in text or "," in text:
         best: dict[tuple[int, int], tuple[float, str]] = {}
-        for name, parts in _pairs(text):
-            if not (weight := name_weight(name)):
-                continue
-            score = weight + literal_weight("".join(v for v, _, _ in parts))
+        pairs = [(name, weight, parts) for name, parts in _pairs(text) if (weight := name_weight(name))]
+        makes = _makes(text, {p for _, _, parts in pairs for p in parts})
+        for name, weight, parts in pairs:
+            score = weight + sum((makes[p] for p in parts[1:]), makes[parts[0]]).weight()
             if score >= THRESHOLD:
-                for _, a, b in parts:
+                for a, b in parts:
                     if b > a:
                         best[a, b] = max(best.get((a, b), (0.0, "")), (score, name))
         found += [("literal", a, b, a, name, score) for (a, b), (score, name) in best.items()]

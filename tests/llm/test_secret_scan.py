@@ -77,3 +77,30 @@ def test_time_is_linear_in_long_texts():
     assert len(secret_scan.findings("token" + " " * 200_000 + "x")) == 0
     assert len(secret_scan.findings('a = "b" + ' * 20_000)) == 0
     assert secret_scan.findings("x" * 500_000 + "=") == []
+
+
+@pytest.mark.parametrize("n", [256, 257, 5000, 100_000])
+@pytest.mark.parametrize(
+    "form",
+    ["PRIVATE_KEY={}", "bearer: {}\n", "run --signing-key {} now", "<private_key>{}</private_key>", '("private_key", "{}")', 'passphrase = "{}"', "passphrase = '{}'", "passphrase = `{}`", 'k = "{}"\npassphrase = k'],
+)
+def test_literals_of_any_length(form, n):
+    rng = random.Random(n)
+    value = "".join(rng.choice("ghijkmnpqrtuvwyzGHIJKMNPQRTUVWYZ23456789/.") for _ in range(n))
+    assert literals(form.format(value)) == {value}
+
+
+def test_words_that_a_long_key_holds_by_chance_are_no_placeholders():
+    rng = random.Random(3)
+    value = "".join(rng.choice("ghijkmnpqrtuvwyz23456789") for _ in range(5000))
+    assert literals(f"PRIVATE_KEY={value}todo{value}") == {f"{value}todo{value}"}
+    assert literals(f'passphrase = "changeme {value}"') == set()
+
+
+def test_time_is_linear_in_long_literals():
+    n = 100_000
+    assert len(literals("passphrase=ab12" * (n // 15))) > 0
+    assert literals("a = b1=" * 3 + "x1=" * n + " y z") == set()
+    assert literals('signing_key = "' * 5000 + "x" * n) == set()
+    assert literals('k = "' + "g7Kq" * n + '"\n' + "signing_key = k\n" * 5000) == {"g7Kq" * n}
+    assert literals('signing_key = "b"' + " " * n + "x") == set()
