@@ -2,11 +2,12 @@
 
 Three fixed patterns give the base findings.  Beyond them a small lexer reads
 the assignments of source and configuration text - ``name = "..."``,
-``"name": "..."``, ``name: str = "a" + b``, ``NAME=value`` lines, ``--name
-value``, ``<name>value</name>`` and ``("name", "value")`` - into pairs of a
-name and a literal.  Names assigned literals become constants, later uses of
+``"name": "..."``, ``name: str = "a" + b``, triple-quoted and YAML block values,
+``NAME=value`` lines, ``--name value``, ``<name>value</name>`` and ``("name",
+"value")`` - into pairs of a name and a literal.  Names assigned literals become constants, later uses of
 them resolve to those literals, and a literal is scored by the most sensitive
-name it reaches and by its own make-up.  A literal scored at least
+name it reaches and by its own make-up; a private key in PEM is a secret under
+any name.  A literal scored at least
 ``THRESHOLD`` is reported where it stands, even if the sensitive name is
 assigned far from it.
 """
@@ -36,12 +37,17 @@ _OPERATOR = re.compile(r"(?<![=!<>:+*/%&|^~-])(?::=|=>|[:=])(?![=:])", re.ASCII)
 _TARGET = re.compile(r"""(["'`]?)([A-Za-z_$][\w$.-]{0,63})\1\]?[ \t]*$""", re.ASCII)
 _TYPED = re.compile(r"""([A-Za-z_$][\w$.-]{0,63})[ \t]*:[ \t]*[A-Za-z_][\w.\[\]<>]{0,63}[ \t]*$""", re.ASCII)
 _QUOTED = re.compile(r'''[rbuf]{0,2}(?:"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)'|`((?:[^`\\]++|\\.)*+)`)''', re.ASCII)
+_TRIPLE = re.compile(r"[rbuf]{0,2}(?:\"{3}((?:[^\"\\]++|\\[\s\S]|\"(?!\"\"))*+)\"{3}|'{3}((?:[^'\\]++|\\[\s\S]|'(?!''))*+)'{3})", re.ASCII)
+_BLOCK = re.compile(r"(?:[!&]\S*+[ \t]++)*+[|>][+-]?[1-9]?[+-]?[ \t]*+(?:#[^\n]*+)?\r?(?:\n|$)", re.ASCII)
+_KEY_INDENT = re.compile(r"\x20*+(?:-\x20++)*+", re.ASCII)
+_PEM_HEADER = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----", re.ASCII)
+_PEM = re.compile(r"""["']?(-----BEGIN (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----(?:[^-]++|-(?!----))*+-----END [A-Z0-9 ]*+-----)""", re.ASCII)
 _NAME = re.compile(r"[A-Za-z_$][\w$.]{0,63}", re.ASCII)
 _BARE = re.compile(r"""[^\s#;,"'`{}()\[\]<>]*+""")
 _BARE_END = re.compile(r"[ \t]*+(?:[#;,\r\n]|$)")
 _JOIN = re.compile(r"[ \t]*+\\?\r?\n?[ \t]*+[+.][ \t]*+\\?\r?\n?[ \t]*+(?=[\"'`A-Za-z_$])", re.ASCII)
-_FLAG = re.compile(r"""(?<!\S)--?([A-Za-z][\w-]{2,63})[ \t]++(["']?)([^\s"'-][^\s"']{5,}+)\2(?!\S)""", re.ASCII)
-_ELEMENT = re.compile(r"<([A-Za-z_][\w.-]{0,63})>([^<>\s]{6,}+)</\1>", re.ASCII)
+_FLAG = re.compile(r"""(?<!\S)--?([A-Za-z][\w-]{2,63})[ \t]++(?:"([^"\n]{6,}+)"|'([^'\n]{6,}+)'|([^\s"'-][^\s"']{5,}+))(?!\S)""", re.ASCII)
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.-]{0,63})>([^<>]{6,}+)</\1>", re.ASCII)
 _PAIR = re.compile(r"""(["'])([A-Za-z_][\w.-]{2,63})\1[ \t]*+,[ \t]*+(["'])([^"'\n]{6,}+)\3""", re.ASCII)
 
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", re.ASCII)
@@ -53,8 +59,10 @@ _WORD = r"example|changeme|change_me|placeholder|redacted|dummy|sample|todo|fixm
 _PLACEHOLDER = re.compile(rf"^(?:{_ENDS}|.*(?:{_WORD}).*|none|null|undefined|true|false)$", re.ASCII | re.IGNORECASE)
 _PLACEHOLDER_ENDS = re.compile(rf"^(?:{_ENDS})$", re.ASCII | re.IGNORECASE)
 _PLACEHOLDER_WORD = re.compile(_WORD, re.ASCII | re.IGNORECASE)
-#: Characters that a make keeps of each end; more than any placeholder word has.
-_EDGE = 32
+#: Characters that a make keeps of each end; more than a placeholder's word or a PEM header has.
+_EDGE = 64
+#: A header, an end line and a key: those of the shortest kind, Ed25519, have 119 characters.
+_KEY_LENGTH = 80
 
 
 def name_weight(name: str) -> float:
@@ -66,16 +74,16 @@ def name_weight(name: str) -> float:
 
 
 class Make:
-    """What a weight depends on: length, counts of characters, both ends, and whether a placeholder's word stands inside.
+    """What a weight depends on: length, counts of characters, both ends, and whether a placeholder's word or a PEM header stands inside.
 
     Makes of neighbouring texts add up to that of the whole, so texts that share parts are read once.
     """
 
-    __slots__ = ("n", "counts", "head", "tail", "word")
+    __slots__ = ("n", "counts", "head", "tail", "word", "pem")
 
     def __init__(self, text: str = ""):
         self.n, self.counts, self.head, self.tail = len(text), Counter(text), text[:_EDGE], text[-_EDGE:]
-        self.word = bool(_PLACEHOLDER_WORD.search(text))
+        self.word, self.pem = bool(_PLACEHOLDER_WORD.search(text)), bool(_PEM_HEADER.search(text))
 
     def __add__(self, other: Make) -> Make:
         out = Make()
@@ -83,14 +91,16 @@ class Make:
         for c, k in other.counts.items():
             out.counts[c] += k
         out.head, out.tail = (self.head + other.head if self.n < _EDGE else self.head)[:_EDGE], (self.tail + other.tail if other.n < _EDGE else other.tail)[-_EDGE:]
-        out.word = self.word or other.word or bool(_PLACEHOLDER_WORD.search(self.tail + other.head))
+        between = self.tail + other.head
+        out.word = self.word or other.word or bool(_PLACEHOLDER_WORD.search(between))
+        out.pem = self.pem or other.pem or bool(_PEM_HEADER.search(between))
         return out
 
     def is_placeholder(self) -> bool:
         """Whether _PLACEHOLDER matches; a word inside a long text without blanks, as keys have by chance, doesn't count."""
         if self.n <= _EDGE:
             return bool(_PLACEHOLDER.match(self.head))
-        if self.word and (self.n <= 256 or self.has_space()) and self.counts["\n"] == self.tail.endswith("\n"):
+        if self.word and (self.n <= 256 or self.has_space() and not self.pem) and self.counts["\n"] == self.tail.endswith("\n"):
             return True
         # one character stands for all between the ends
         inside = "\n" if self.counts["\n"] > self.tail.endswith("\n") else "" if self.counts.keys() <= {"x", "X"} or len(self.counts) == 1 else "\x01"
@@ -99,19 +109,26 @@ class Make:
     def has_space(self) -> bool:
         return any(c.isspace() for c in self.counts)
 
-    def weight(self) -> float:
+    def weight(self, strong: bool = False) -> float:
+        """-1 to 1; blanks tell less against a literal under a strong name, which may bear a passphrase."""
         if self.n < 6 or self.is_placeholder():
             return -1.0
         n = self.n
         entropy = -sum(c / n * math.log2(c / n) for c in self.counts.values())
         weight = 0.5 if entropy >= 3 else 0.25 if entropy >= 2.5 else 0.0
         weight += 0.25 * (any(c.isdigit() for c in self.counts) and any(c.isalpha() for c in self.counts)) + 0.25 * (n >= 16)
-        return weight - 0.75 * self.has_space() - 0.5 * self.head.startswith(("http://", "https://", "/", "./"))
+        return weight - (0.25 if strong else 0.75) * self.has_space() - 0.5 * self.head.startswith(("http://", "https://", "/", "./"))
 
+    def score(self, weight: float) -> float:
+        """The score under a name of a weight; a PEM header with a key after it is a full secret under any."""
+        if self.pem and self.n >= _KEY_LENGTH and not self.is_placeholder():
+            return 2.0
+        return weight + self.weight(weight >= 1)
 
-def literal_weight(value: str) -> float:
-    """How much a literal looks like a secret, -1 to 1."""
-    return Make(value).weight()
+
+def literal_weight(value: str, strong: bool = False) -> float:
+    """How much a literal looks like a secret, -1 to 1, under a strong name or another."""
+    return Make(value).weight(strong)
 
 
 def _makes(text: str, spans: set[tuple[int, int]]) -> dict[tuple[int, int], Make]:
@@ -143,6 +160,32 @@ def _bare(text: str, at: int) -> tuple[int, int, int]:
     return at, end, next(digits, -1) if _BARE_END.match(text, end) else -1
 
 
+def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    """A stretch without the blanks around it."""
+    while end > start and text[end - 1].isspace():
+        end -= 1
+    while start < end and text[start].isspace():
+        start += 1
+    return start, end
+
+
+def _block(text: str, key: int, at: int) -> tuple[int, int]:
+    """Begin and end of the lines from a place on that are indented more than a key that ends before them."""
+    line = text.rfind("\n", 0, key) + 1
+    indent = _KEY_INDENT.match(text, line).end() - line
+    begin = end = at
+    while at < len(text):
+        stop = text.find("\n", at)
+        stop = len(text) if stop < 0 else stop
+        own = len(text[at:stop]) - len(text[at:stop].lstrip(" "))
+        if text[at:stop].strip():
+            if own <= indent:
+                break
+            end = stop
+        at = stop + 1
+    return _trimmed(text, begin, end)
+
+
 def _pairs(text: str):
     """(target name, [(start, end) of each literal that makes up its value]) in the order of the text."""
     constants: dict[str, list[tuple[int, int]]] = {}
@@ -161,7 +204,10 @@ def _pairs(text: str):
         parts: list[tuple[int, int]] = []
         whole = True
         while True:
-            if q := _QUOTED.match(text, at):
+            if q := _TRIPLE.match(text, at):
+                parts.append(_trimmed(text, *q.span(q.lastindex)))
+                at = q.end()
+            elif q := _QUOTED.match(text, at):
                 parts.append(q.span(q.lastindex))
                 at = q.end()
             elif (i := _NAME.match(text, at)) and i[0] in constants:
@@ -169,6 +215,12 @@ def _pairs(text: str):
                 at = i.end()
             else:
                 if not parts:
+                    if p := _PEM.match(text, at):
+                        parts.append(p.span(1))
+                        break
+                    if op[0] == ":" and (k := _BLOCK.match(text, at)):
+                        parts.append(_block(text, op.start(), k.end()))
+                        break
                     if not bare[0] <= at < bare[1]:
                         bare = _bare(text, at)
                     if bare[2] >= at and bare[1] - at >= 6:
@@ -185,9 +237,9 @@ def _pairs(text: str):
             constants[name] = parts
         else:
             constants.pop(name, None)
-    for pattern, name, value in ((_FLAG, 1, 3), (_ELEMENT, 1, 2), (_PAIR, 2, 4)):
+    for pattern, name in ((_FLAG, 1), (_ELEMENT, 1), (_PAIR, 2)):
         for m in pattern.finditer(text):
-            yield m[name], [m.span(value)]
+            yield m[name], [_trimmed(text, *m.span(m.lastindex))]
 
 
 def findings(text: str | None) -> list[tuple[str, int, int, int, str, float]]:
@@ -197,10 +249,11 @@ def findings(text: str | None) -> list[tuple[str, int, int, int, str, float]]:
     found = _base(text)
     if "=" in text or ":" in text or "--" in text or "</" in text or "," in text:
         best: dict[tuple[int, int], tuple[float, str]] = {}
-        pairs = [(name, weight, parts) for name, parts in _pairs(text) if (weight := name_weight(name))]
+        pem = "-----BEGIN" in text and "PRIVATE KEY" in text
+        pairs = [(name, weight, parts) for name, parts in _pairs(text) if (weight := name_weight(name)) or pem]
         makes = _makes(text, {p for _, _, parts in pairs for p in parts})
         for name, weight, parts in pairs:
-            score = weight + sum((makes[p] for p in parts[1:]), makes[parts[0]]).weight()
+            score = sum((makes[p] for p in parts[1:]), makes[parts[0]]).score(weight)
             if score >= THRESHOLD:
                 for a, b in parts:
                     if b > a:
