@@ -355,11 +355,31 @@ def groups(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: str
     of their sets.  An empty table gives an empty result; further columns are
     left out.
     """
-    spark = docs.sparkSession
+    source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    source = source.withColumn("loc", F.xxhash64("doc_id", "text"))
+    return _grouped(source, shingle, block).select("doc_id", "n_shingles", "component_id")
+
+
+def first_rows(docs: DataFrame, shingle: int = 5, block: int = BLOCK) -> DataFrame:
+    """Of each group of linked documents one row of docs: that with the least doc_id, then the least hash of the row.
+
+    Documents are rows, whether or not their doc_ids repeat or are null; a null
+    doc_id comes after all others.  Of equal rows any one stays.  Rows without
+    words link with nothing, so all of them stay.
+    """
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    source = docs.where(words).withColumn("loc", F.xxhash64(*[x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]))
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "loc"))
+    kept = _grouped(source.select("doc_id", "text", "loc"), shingle, block).groupBy("root").agg(least.alias("least")).select("least.loc")
+    # joined and told apart by the same key, so rows move once
+    return source.join(kept, "loc", "left_semi").dropDuplicates(["loc"]).select(*docs.columns).unionByName(docs.where(~words))
+
+
+def _grouped(source: DataFrame, shingle: int, block: int) -> DataFrame:
+    """doc_id, loc, n_shingles, root (null without words) and component_id of each row; source: doc_id, text, loc, a hash by which a text is found again."""
+    spark = source.sparkSession
     ship(spark)
     folder = shared_dir(spark)
-    source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    source = source.withColumn("loc", F.xxhash64("doc_id", "text"))  # finds a set's text again
     scan = stored(_scan(source, "text", shingle), f"{folder}/scan")
     rows = scan.where("part is null").select("doc_id", "loc", "node", "n", "bitmap")
     grouped = rows.where("node is not null").groupBy("node")
@@ -375,6 +395,6 @@ def groups(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: str
     released(spark)
     known = nodes.select("node", "lo").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = known.groupBy("root").agg(F.min("lo").alias("component_id"))
-    known = known.join(least, "root").select("node", "component_id")
-    alone = rows.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return rows.where("node is not null").join(known, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
+    known = known.join(least, "root").select("node", "root", "component_id")
+    alone = rows.where("node is null").select("doc_id", "loc", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("component_id"))
+    return rows.where("node is not null").join(known, "node").select("doc_id", "loc", F.col("n").alias("n_shingles"), "root", "component_id").unionByName(alone)

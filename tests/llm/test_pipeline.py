@@ -69,3 +69,14 @@ def test_query_matches_sql(spark, name):
 def test_held_out_is_by_checksum(spark):
     got = queries.op9_quality(spark, SF).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+
+
+def test_near_duplicate_filter_keeps_one_row_of_each_group(spark, make_docs):
+    a, b, c = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    rows = [(1, a), (1, a), (1, a), (1, b), (2, b), (2, b + " more"), (None, c), (None, c), (None, a), (None, a + " more"), (7, c + " more"), (3, None), (3, ""), (3, ""), (None, " ")]
+    got = corpus_pipeline.near_duplicate_filter(spark, make_docs([t for _, t in rows], [i for i, _ in rows]), SF)
+    assert got.columns == corpus_pipeline.COLUMNS
+    key = lambda r: (str(r[0]), str(r[1]))
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=key) == sorted([(1, a), (1, b), (7, c + " more"), (3, None), (3, ""), (3, ""), (None, " ")], key=key)
+    lone = corpus_pipeline.near_duplicate_filter(spark, make_docs([a, b, b], [None, None, None]), SF)
+    assert sorted(r.text for r in lone.collect()) == [a, b]
