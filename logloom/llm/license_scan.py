@@ -71,11 +71,62 @@ def _band_keys(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
+def _places(at: list[int], of: list[int], total: int, reach: int, threshold: float) -> list[tuple[int, int, float]]:
+    """(first, last, share) of the stretches that hold enough of a template's shingles, from left to right, none overlapping.
+
+    at: where shingles of the template stand; of: their places in the template,
+    total of them.  The first stretch to hold enough sets which copy is read; of
+    the stretches that begin in it and are made of whole runs of the template,
+    that with the most distinct shingles, less those it repeats, is taken, so a
+    copy isn't mended by, or merged with, the next one.
+    """
+    out: list[tuple[int, int, float]] = []
+    run_ends = [i + 1 == len(at) or at[i + 1] != at[i] + 1 or of[i + 1] != of[i] + 1 for i in range(len(at))]
+    lo = hi = 0
+    counts: dict[int, int] = {}
+    while lo < len(at):
+        while hi < len(at) and at[hi] - at[lo] < reach:
+            counts[of[hi]] = counts.get(of[hi], 0) + 1
+            hi += 1
+        if len(counts) / total < threshold:
+            counts[of[lo]] -= 1
+            if not counts[of[lo]]:
+                del counts[of[lo]]
+            lo += 1
+            continue
+        best = None
+        enough, start = lo, lo
+        while start <= enough:
+            seen: set[int] = set()
+            for end in range(start, len(at)):
+                if at[end] - at[start] >= reach:
+                    break
+                seen.add(of[end])
+                if len(seen) / total < threshold:
+                    continue
+                if best is None:  # the shortest from the leftmost begin
+                    enough = end
+                    best = (-1, start, end, len(seen) / total)
+                worth = 2 * len(seen) - (end - start + 1)
+                if run_ends[end] and worth > best[0]:
+                    best = (worth, start, end, len(seen) / total)
+            if best and best[0] == total:
+                break
+            start += 1
+            while start <= enough and not run_ends[start - 1]:
+                start += 1
+        _, start, end, share = best
+        out.append((at[start], at[end], share))
+        lo = hi = end + 1
+        counts = {}
+    return out
+
+
 class Index:
     """Band tables of all templates."""
 
     def __init__(self, templates: Mapping[str, str]):
-        self.names, self.sets, self.lengths = [], [], []
+        self.names, self.sets, self.places, self.lengths = [], [], [], []
         keys: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {size: [] for size, _ in SIZES}
         for name, text in sorted(templates.items()):
             data = np.frombuffer(text.encode(), np.uint8)
@@ -85,7 +136,9 @@ class Index:
                 raise ValueError(f"template {name} has fewer than {SHINGLE} words")
             t, n = len(self.names), len(w.hash)
             self.names.append(name)
-            self.sets.append(np.unique(h))
+            own, place = np.unique(h, return_index=True)
+            self.sets.append(own)
+            self.places.append(place)
             self.lengths.append(n)
             size = next(s for s, step in SIZES if n >= s + step - 1)
             own = self._keys(h, np.arange(n - size + 1), size)
@@ -135,30 +188,23 @@ class Index:
     def matches(self, h: np.ndarray, first: np.ndarray, threshold: float) -> list[list[tuple[str, int, int, float]]]:
         """For each text (template, first word, word after the last, containment), each place of a template once."""
         out: list[list] = [[] for _ in range(len(first) - 1)]
-        done: dict[tuple[int, int], int] = {}
-        for text, t, at in self.retrieved(h, first).tolist():
-            if at < done.get((text, t), -1):
-                continue
-            own, n = self.sets[t], self.lengths[t] - SHINGLE + 1
-            a, b = int(max(first[text], at - n, done.get((text, t), 0))), int(min(first[text + 1], at + 2 * n))
+        met = self.retrieved(h, first)
+        # windows of one text and template whose surroundings overlap are read as one stretch
+        reach = np.array([n - SHINGLE + 1 + (n - SHINGLE + 1) // 4 for n in self.lengths], np.int64)[met[:, 1]]
+        apart = np.ones(len(met), bool)
+        apart[1:] = (met[1:, :2] != met[:-1, :2]).any(1) | (met[1:, 2] - reach[1:] > met[:-1, 2] + 2 * reach[:-1])
+        firsts = np.flatnonzero(apart)
+        lasts = np.append(firsts[1:], len(met)) - 1
+        for i, j in zip(firsts.tolist(), lasts.tolist(), strict=False):
+            text, t, at = met[i].tolist()
+            own, width = self.sets[t], int(reach[i])
+            a, b = int(max(first[text], at - width)), int(min(first[text + 1], met[j, 2] + 2 * width))
             near = h[a:b]
             spot = np.minimum(np.searchsorted(own, near), len(own) - 1)
             held = np.flatnonzero(own[spot] == near)
-            if not len(held):
-                continue
-            # the best stretch no longer than a quarter more than the template
-            best, lo, reach = (0.0, 0, 0), 0, n + n // 4
-            for lo in range(len(held)):
-                hi = int(np.searchsorted(held, held[lo] + reach))
-                share = len(np.unique(near[held[lo:hi]])) / len(own)
-                if share > best[0]:
-                    best = (share, int(held[lo]), int(held[hi - 1]))
-                if share == 1.0:
-                    break
-            if best[0] >= threshold:
-                begin, end = a + best[1] - int(first[text]), a + best[2] - int(first[text]) + SHINGLE
-                out[text].append((self.names[t], begin, end, best[0]))
-                done[text, t] = a + best[2] + 1
+            base = a - int(first[text])
+            for lo, hi, share in _places(held.tolist(), self.places[t][spot[held]].tolist(), len(own), width, threshold):
+                out[text].append((self.names[t], base + lo, base + hi + SHINGLE, share))
         return [sorted(m, key=lambda x: (x[1], x[0])) for m in out]
 
 
@@ -174,7 +220,7 @@ def licenses(docs: DataFrame, templates: Mapping[str, str] | None = None, thresh
     letters and digits and non-ASCII characters, A-Z lower-cased.  Null and
     empty texts have none.  A template is reported at each place where
     ``threshold`` or more of its distinct shingles stand within a stretch at
-    most a quarter longer than itself.
+    most a quarter longer than itself; places of one template don't overlap.
     """
     chosen = dict(TEMPLATES if templates is None else templates)
 

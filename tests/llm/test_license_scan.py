@@ -60,3 +60,23 @@ def test_window_sizes_leave_no_template_out():
     for text in license_scan.TEMPLATES.values():
         n = len(alnum_words(text))
         assert any(n >= size + step - 1 for size, step in license_scan.SIZES)
+
+
+def test_edited_copies_beside_better_ones_are_reported(make_docs):
+    texts, want = [], []
+    for name in ("MIT", "ISC", "Apache-2.0"):
+        whole = license_scan.TEMPLATES[name].split()
+        n = len(alnum_words(" ".join(whole)))
+        for gap in (0, 1, 9, 60):
+            for spots in ([0], [len(whole) // 3], [4, len(whole) // 2], [len(whole) - 1]):
+                edited = [f"zz{i}" if i in spots else w for i, w in enumerate(whole)]
+                between = [f"g{i}" for i in range(gap)]
+                for copies in ([edited, whole], [whole, edited], [edited, edited, whole, edited], [whole, whole], [whole[: len(whole) // 2], whole]):
+                    texts.append(" ".join(w for c in copies for w in [*c, *between]))
+                    want.append((name, sum(len(c) == len(whole) for c in copies), any(c == whole for c in copies), n))
+    for r in license_scan.licenses(make_docs(texts)).collect():
+        name, copies, exact, n = want[r.doc_id]
+        got = [m for m in r.licenses if m.license == name]
+        assert len(got) == copies, (r.doc_id, got)
+        assert not exact or any(m.containment == 1 and m.end_word - m.start_word == n for m in got), (r.doc_id, got)
+        assert all(a.end_word - 4 <= b.start_word for a, b in zip(got, got[1:], strict=False))
