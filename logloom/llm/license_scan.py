@@ -8,11 +8,12 @@ rows, meets that of a window with Jaccard similarity s in some band with
 probability 1 - (1 - s^2)^16, over 0.9999999 at s = 0.8.  Templates too short
 for a window of shingles are found by single shingles.  A template that is met
 is then measured on its whole surroundings: the share of its distinct shingles
-that occur there must reach the threshold.
+that occur there must reach the threshold.  SPDX lines are found by their words.
 """
 
 from __future__ import annotations
 
+import pkgutil
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowmap import extended
-from .textarrays import ALNUM, blocks, mix, ngram_hashes, words
+from .textarrays import ALNUM, Words, blocks, mix, ngram_hashes, words
 
 SHINGLE = 5
 BANDS, ROWS = 16, 2
@@ -40,6 +41,12 @@ TEMPLATES: dict[str, str] = {
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
     "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
     "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions""",
+    "LGPL-notice": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.""",
+    "AGPL-notice": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.""",
+    "EPL-2.0": """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at""",
+    "CC0-1.0": """To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.""",
+    "BSL-1.0": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following""",
+    "BSL-1.0-line": "Distributed under the Boost Software License, Version 1.0.",
     "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "MIT-line": "Released under the MIT License.",
     "MIT-licensed-line": "Licensed under the MIT License.",
@@ -50,6 +57,57 @@ TEMPLATES: dict[str, str] = {
     "CC-BY-SA-4.0-line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
 }
 
+#: Licenses with their full text in license_texts; reported by id and "-text".
+FULL_TEXTS = ("Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0")
+
+#: Ids that are read after "SPDX-License-Identifier:"; reported by id and "-spdx".
+SPDX_IDS = """0BSD AFL-3.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.1 Apache-2.0 Artistic-1.0 Artistic-2.0 BlueOak-1.0.0 BSD-1-Clause
+BSD-2-Clause BSD-2-Clause-Patent BSD-3-Clause BSD-3-Clause-Clear BSD-4-Clause BSL-1.0 BUSL-1.1 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0
+CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 CDDL-1.1 CECILL-2.1 CPL-1.0 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2
+GFDL-1.2 GFDL-1.3 GPL-1.0 GPL-1.0-only GPL-1.0-or-later GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later ISC
+LGPL-2.0 LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0
+MPL-1.1 MPL-2.0 MPL-2.0-no-copyleft-exception MS-PL MulanPSL-2.0 NCSA OFL-1.1 OSL-3.0 PHP-3.01 PostgreSQL PSF-2.0 Python-2.0 Ruby SSPL-1.0
+Unicode-3.0 Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1""".split()
+
+
+def inventory() -> dict[str, str]:
+    """TEMPLATES and the full texts."""
+    return TEMPLATES | {f"{x}-text": pkgutil.get_data(__package__, f"license_texts/{x}.txt").decode() for x in FULL_TEXTS}
+
+
+def _word_hashes(text: str) -> list[int]:
+    data = np.frombuffer(text.encode(), np.uint8)
+    return words(data, np.array([0, len(data)]), ALNUM).hash.tolist()
+
+
+class Tags:
+    """Finds SPDX lines by their words: the tag, then ids that or, and or with join."""
+
+    def __init__(self, ids: Sequence[str]):
+        self.tag = np.array(_word_hashes("SPDX-License-Identifier"), np.uint64)
+        self.ids = {tuple(_word_hashes(x)): f"{x}-spdx" for x in ids}
+        self.sizes = sorted({len(x) for x in self.ids}, reverse=True)
+        self.joints = set(_word_hashes("or and with"))
+
+    def matches(self, w: Words) -> list[list[tuple[str, int, int, float]]]:
+        """For each text (id, first word, word after the last, 1.0); the first id's place has the tag."""
+        out: list[list] = [[] for _ in w.counts]
+        at = np.flatnonzero(w.hash == self.tag[0])
+        for k in range(1, len(self.tag)):
+            at = at[at + k < len(w.hash)]
+            at = at[w.hash[at + k] == self.tag[k]]
+        for begin in at.tolist():
+            text = int(np.searchsorted(w.first, begin, "right")) - 1
+            base, stop = int(w.first[text]), int(w.first[text + 1])
+            start, end = begin, begin + len(self.tag)
+            while size := next((n for n in self.sizes if end + n <= stop and tuple(w.hash[end : end + n].tolist()) in self.ids), 0):
+                out[text].append((self.ids[tuple(w.hash[end : end + size].tolist())], start - base, end + size - base, 1.0))
+                start = end = end + size + 1
+                if end > stop or int(w.hash[end - 1 : end].sum()) not in self.joints:
+                    break
+        return out
+
+
 _rng = np.random.default_rng(77)
 _SEEDS = _rng.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
@@ -71,17 +129,18 @@ def _band_keys(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
-def _places(at: list[int], of: list[int], total: int, reach: int, threshold: float) -> list[tuple[int, int, float]]:
+def _places(at: list[int], of: list[int], times: dict[int, int], reach: int, threshold: float) -> list[tuple[int, int, float]]:
     """(first, last, share) of the stretches that hold enough of a template's shingles, from left to right, none overlapping.
 
-    at: where shingles of the template stand; of: their places in the template,
-    total of them.  The first stretch to hold enough sets which copy is read; of
+    at: where shingles of the template stand; of: their places in the template;
+    times: how often the template has the shingle of a place.  The first stretch to hold enough sets which copy is read; of
     the stretches that begin in it and are made of whole runs of the template,
-    that with the most distinct shingles, less those it repeats, is taken, so a
+    that with the most shingles, less those beyond the template's own, is taken, so a
     copy isn't mended by, or merged with, the next one.
     """
     out: list[tuple[int, int, float]] = []
     run_ends = [i + 1 == len(at) or at[i + 1] != at[i] + 1 or of[i + 1] != of[i] + 1 for i in range(len(at))]
+    total, most = len(times), sum(times.values())
     lo = hi = 0
     counts: dict[int, int] = {}
     while lo < len(at):
@@ -97,20 +156,21 @@ def _places(at: list[int], of: list[int], total: int, reach: int, threshold: flo
         best = None
         enough, start = lo, lo
         while start <= enough:
-            seen: set[int] = set()
+            seen: dict[int, int] = {}
+            worth = 0
             for end in range(start, len(at)):
                 if at[end] - at[start] >= reach:
                     break
-                seen.add(of[end])
+                seen[of[end]] = seen.get(of[end], 0) + 1
+                worth += 1 if seen[of[end]] <= times[of[end]] else -1
                 if len(seen) / total < threshold:
                     continue
                 if best is None:  # the shortest from the leftmost begin
                     enough = end
                     best = (-1, start, end, len(seen) / total)
-                worth = 2 * len(seen) - (end - start + 1)
                 if run_ends[end] and worth > best[0]:
                     best = (worth, start, end, len(seen) / total)
-            if best and best[0] == total:
+            if best and best[0] == most:
                 break
             start += 1
             while start <= enough and not run_ends[start - 1]:
@@ -126,7 +186,7 @@ class Index:
     """Band tables of all templates."""
 
     def __init__(self, templates: Mapping[str, str]):
-        self.names, self.sets, self.places, self.lengths = [], [], [], []
+        self.names, self.sets, self.places, self.times, self.lengths = [], [], [], [], []
         keys: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {size: [] for size, _ in SIZES}
         for name, text in sorted(templates.items()):
             data = np.frombuffer(text.encode(), np.uint8)
@@ -136,9 +196,10 @@ class Index:
                 raise ValueError(f"template {name} has fewer than {SHINGLE} words")
             t, n = len(self.names), len(w.hash)
             self.names.append(name)
-            own, place = np.unique(h, return_index=True)
+            own, place, count = np.unique(h, return_index=True, return_counts=True)
             self.sets.append(own)
             self.places.append(place)
+            self.times.append(dict(zip(place.tolist(), count.tolist(), strict=True)))
             self.lengths.append(n)
             size = next(s for s, step in SIZES if n >= s + step - 1)
             own = self._keys(h, np.arange(n - size + 1), size)
@@ -148,8 +209,8 @@ class Index:
             if keys[size]:
                 key, of = (np.concatenate(x) for x in zip(*keys[size], strict=True))
                 order = np.argsort(key, kind="stable")
-                seen = np.zeros(1 << 16, bool)
-                seen[key & np.uint64(0xFFFF)] = True
+                seen = np.zeros(1 << 20, bool)
+                seen[key & np.uint64(0xFFFFF)] = True
                 self.tables[size, step] = key[order], of[order], seen
 
     @staticmethod
@@ -176,7 +237,7 @@ class Index:
                 else:
                     base, top = int(b[0]), int(min(first[t[-1] + 1], b[-1] + width))
                     own = _band_keys(h[base:top], b - base, np.minimum(b + width, first[t + 1]) - base)
-                row, band = np.nonzero(seen[own & np.uint64(0xFFFF)])
+                row, band = np.nonzero(seen[own & np.uint64(0xFFFFF)])
                 k = own[row, band]
                 lo, hi = np.searchsorted(key, k), np.searchsorted(key, k, "right")
                 many = hi - lo
@@ -203,7 +264,7 @@ class Index:
             spot = np.minimum(np.searchsorted(own, near), len(own) - 1)
             held = np.flatnonzero(own[spot] == near)
             base = a - int(first[text])
-            for lo, hi, share in _places(held.tolist(), self.places[t][spot[held]].tolist(), len(own), width, threshold):
+            for lo, hi, share in _places(held.tolist(), self.places[t][spot[held]].tolist(), self.times[t], width, threshold):
                 out[text].append((self.names[t], base + lo, base + hi + SHINGLE, share))
         return [sorted(m, key=lambda x: (x[1], x[0])) for m in out]
 
@@ -218,19 +279,23 @@ def licenses(docs: DataFrame, templates: Mapping[str, str] | None = None, thresh
     The templates, of a size that the caller knows, travel with the task; texts
     pass through once, whole, without a shuffle.  Words are runs of ASCII
     letters and digits and non-ASCII characters, A-Z lower-cased.  Null and
-    empty texts have none.  A template is reported at each place where
+    empty texts have none.  Without templates of the caller's those of
+    ``inventory`` are looked for, and SPDX lines.  A template is reported at each place where
     ``threshold`` or more of its distinct shingles stand within a stretch at
     most a quarter longer than itself; places of one template don't overlap.
     """
-    chosen = dict(TEMPLATES if templates is None else templates)
+    chosen = dict(inventory() if templates is None else templates)
+    ids = SPDX_IDS if templates is None else []
 
     def make():
-        index = Index(chosen)
+        index, tags = Index(chosen), Tags(ids)
 
         def run(batch):
             out: list[Sequence] = []
             for _, _, data, offsets in blocks(batch.column(batch.schema.get_field_index(text))):
-                out += index.matches(*ngram_hashes(words(data, offsets, ALNUM), SHINGLE), threshold)
+                w = words(data, offsets, ALNUM)
+                found = index.matches(*ngram_hashes(w, SHINGLE), threshold)
+                out += [sorted(m + t, key=lambda x: (x[1], x[0])) if t else m for m, t in zip(found, tags.matches(w), strict=True)]
             return [pa.array([[dict(zip(_MATCH.names, m, strict=True)) for m in ms] for ms in out], _ARROW)]
 
         return run

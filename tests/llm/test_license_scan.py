@@ -80,3 +80,17 @@ def test_edited_copies_beside_better_ones_are_reported(make_docs):
         assert len(got) == copies, (r.doc_id, got)
         assert not exact or any(m.containment == 1 and m.end_word - m.start_word == n for m in got), (r.doc_id, got)
         assert all(a.end_word - 4 <= b.start_word for a, b in zip(got, got[1:], strict=False))
+
+
+def test_spdx_lines_full_texts_and_further_notices(make_docs):
+    filler = " ".join(WORDS)
+    texts = ["// SPDX-License-Identifier: MIT", "# SPDX-License-Identifier: (GPL-2.0-or-later WITH x OR MIT)\nimport os", f"{filler}\n/* SPDX-License-Identifier: MIT OR Apache-2.0 */ int x;\nSPDX-License-Identifier: ISC", "SPDX-License-Identifier:", "MIT SPDX-License", "SPDX-License-Identifier: unknown"]
+    want = [{("MIT-spdx", 0, 4)}, {("GPL-2.0-or-later-spdx", 0, 8)}, {("MIT-spdx", len(WORDS), len(WORDS) + 4), ("Apache-2.0-spdx", len(WORDS) + 5, len(WORDS) + 8), ("ISC-spdx", len(WORDS) + 10, len(WORDS) + 14)}, set(), set(), set()]
+    known = license_scan.inventory()
+    names = [f"{x}-text" for x in license_scan.FULL_TEXTS] + ["LGPL-notice", "AGPL-notice", "EPL-2.0", "CC0-1.0", "BSL-1.0", "BSL-1.0-line"]
+    rows = license_scan.licenses(make_docs([*texts, *[f"{filler} {known[n]} {filler}" for n in names]])).collect()
+    for r in rows:
+        if r.doc_id < len(texts):
+            assert {(m.license, m.start_word, m.end_word) for m in r.licenses} == want[r.doc_id]
+        else:
+            assert (names[r.doc_id - len(texts)], 1.0) in {(m.license, m.containment) for m in r.licenses}
