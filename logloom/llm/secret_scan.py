@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,21 +35,23 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}", re.ASCII)
 _HEX = re.compile(r"[0-9a-f]{24,}", re.ASCII)
 
 _OPERATOR = re.compile(r"(?<![=!<>:+*/%&|^~-])(?::=|=>|[:=])(?![=:])", re.ASCII)
-_TARGET = re.compile(r"""(["'`]?)([A-Za-z_$][\w$.-]{0,63})\1\]?[ \t]*$""", re.ASCII)
-_TYPED = re.compile(r"""([A-Za-z_$][\w$.-]{0,63})[ \t]*:[ \t]*[A-Za-z_][\w.\[\]<>]{0,63}[ \t]*$""", re.ASCII)
+#: For a text read backwards from an operator: a target, and a target with its type.
+_TARGET = re.compile(r"""\n?[ \t]*+\]?+(["'`]?+)([\w$.-]++)""", re.ASCII)
+_TYPED = re.compile(r"""\n?[ \t]*+[\w.\[\]<>]*+(?<=[A-Za-z_])[ \t]*+:[ \t]*+([\w$.-]++)""", re.ASCII)
+_FIRST = re.compile(r"[A-Za-z_$]", re.ASCII)
 _QUOTED = re.compile(r'''[rbuf]{0,2}(?:"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)'|`((?:[^`\\]++|\\.)*+)`)''', re.ASCII)
 _TRIPLE = re.compile(r"[rbuf]{0,2}(?:\"{3}((?:[^\"\\]++|\\[\s\S]|\"(?!\"\"))*+)\"{3}|'{3}((?:[^'\\]++|\\[\s\S]|'(?!''))*+)'{3})", re.ASCII)
 _BLOCK = re.compile(r"(?:[!&]\S*+[ \t]++)*+[|>][+-]?[1-9]?[+-]?[ \t]*+(?:#[^\n]*+)?\r?(?:\n|$)", re.ASCII)
 _KEY_INDENT = re.compile(r"\x20*+(?:-\x20++)*+", re.ASCII)
 _PEM_HEADER = re.compile(r"-----BEGIN (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----", re.ASCII)
 _PEM = re.compile(r"""["']?(-----BEGIN (?:[A-Z0-9]+ ){0,4}PRIVATE KEY(?: BLOCK)?-----(?:[^-]++|-(?!----))*+-----END [A-Z0-9 ]*+-----)""", re.ASCII)
-_NAME = re.compile(r"[A-Za-z_$][\w$.]{0,63}", re.ASCII)
+_NAME = re.compile(r"[A-Za-z_$][\w$.]*+", re.ASCII)
 _BARE = re.compile(r"""[^\s#;,"'`{}()\[\]<>]*+""")
 _BARE_END = re.compile(r"[ \t]*+(?:[#;,\r\n]|$)")
 _JOIN = re.compile(r"[ \t]*+\\?\r?\n?[ \t]*+[+.][ \t]*+\\?\r?\n?[ \t]*+(?=[\"'`A-Za-z_$])", re.ASCII)
-_FLAG = re.compile(r"""(?<!\S)--?([A-Za-z][\w-]{2,63})[ \t]++(?:"([^"\n]{6,}+)"|'([^'\n]{6,}+)'|([^\s"'-][^\s"']{5,}+))(?!\S)""", re.ASCII)
-_ELEMENT = re.compile(r"<([A-Za-z_][\w.-]{0,63})>([^<>]{6,}+)</\1>", re.ASCII)
-_PAIR = re.compile(r"""(["'])([A-Za-z_][\w.-]{2,63})\1[ \t]*+,[ \t]*+(["'])([^"'\n]{6,}+)\3""", re.ASCII)
+_FLAG = re.compile(r"""(?<!\S)--?([A-Za-z][\w-]{2,}+)[ \t]++(?:"([^"\n]{6,}+)"|'([^'\n]{6,}+)'|([^\s"'-][^\s"']{5,}+))(?!\S)""", re.ASCII)
+_ELEMENT = re.compile(r"<([A-Za-z_][\w.-]*+)>([^<>]{6,}+)</\1>", re.ASCII)
+_PAIR = re.compile(r"""(["'])([A-Za-z_][\w.-]{2,}+)\1[ \t]*+,[ \t]*+(["'])([^"'\n]{6,}+)\3""", re.ASCII)
 
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", re.ASCII)
 _STRONG = re.compile(r"(?:^|_)(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api_?key|(?:access|private|secret|signing|encryption|master|auth|account)_key|credentials?|bearer|conn(?:ection)?_str(?:ing)?)(?:_|$)", re.ASCII)
@@ -61,6 +64,8 @@ _PLACEHOLDER_ENDS = re.compile(rf"^(?:{_ENDS})$", re.ASCII | re.IGNORECASE)
 _PLACEHOLDER_WORD = re.compile(_WORD, re.ASCII | re.IGNORECASE)
 #: Characters that a make keeps of each end; more than a placeholder's word or a PEM header has.
 _EDGE = 64
+#: Characters up to which a make counts one by one.
+_MOST = 1 << 40
 #: A header, an end line and a key: those of the shortest kind, Ed25519, have 119 characters.
 _KEY_LENGTH = 80
 
@@ -85,15 +90,27 @@ class Make:
         self.n, self.counts, self.head, self.tail = len(text), Counter(text), text[:_EDGE], text[-_EDGE:]
         self.word, self.pem = bool(_PLACEHOLDER_WORD.search(text)), bool(_PEM_HEADER.search(text))
 
-    def __add__(self, other: Make) -> Make:
-        out = Make()
-        out.n, out.counts = self.n + other.n, self.counts.copy()
-        for c, k in other.counts.items():
-            out.counts[c] += k
-        out.head, out.tail = (self.head + other.head if self.n < _EDGE else self.head)[:_EDGE], (self.tail + other.tail if other.n < _EDGE else other.tail)[-_EDGE:]
+    def add(self, other: Make) -> None:
+        """Becomes the make of its text followed by another's."""
         between = self.tail + other.head
-        out.word = self.word or other.word or bool(_PLACEHOLDER_WORD.search(between))
-        out.pem = self.pem or other.pem or bool(_PEM_HEADER.search(between))
+        self.word = self.word or other.word or bool(_PLACEHOLDER_WORD.search(between))
+        self.pem = self.pem or other.pem or bool(_PEM_HEADER.search(between))
+        self.head = (self.head + other.head if self.n < _EDGE else self.head)[:_EDGE]
+        self.tail = (self.tail + other.tail if other.n < _EDGE else other.tail)[-_EDGE:]
+        self.n += other.n
+        for c, k in other.counts.items():
+            self.counts[c] += k
+        if self.n > _MOST:  # constants that double themselves; shares are all that counts then
+            share = _MOST / self.n
+            self.n, self.counts = _MOST, Counter({c: k * share for c, k in self.counts.items()})
+
+    @staticmethod
+    def joined(makes: Sequence[Make]) -> Make:
+        if len(makes) == 1:
+            return makes[0]
+        out = Make()
+        for m in makes:
+            out.add(m)
         return out
 
     def is_placeholder(self) -> bool:
@@ -114,7 +131,7 @@ class Make:
         if self.n < 6 or self.is_placeholder():
             return -1.0
         n = self.n
-        entropy = -sum(c / n * math.log2(c / n) for c in self.counts.values())
+        entropy = -sum(c / n * math.log2(c / n) for c in self.counts.values() if c)
         weight = 0.5 if entropy >= 3 else 0.25 if entropy >= 2.5 else 0.0
         weight += 0.25 * (any(c.isdigit() for c in self.counts) and any(c.isalpha() for c in self.counts)) + 0.25 * (n >= 16)
         return weight - (0.25 if strong else 0.75) * self.has_space() - 0.5 * self.head.startswith(("http://", "https://", "/", "./"))
@@ -137,7 +154,7 @@ def _makes(text: str, spans: set[tuple[int, int]]) -> dict[tuple[int, int], Make
     last = None
     for end, start in sorted(((b, a) for a, b in spans), key=lambda x: (x[0], -x[1])):
         if last and last[1] == end:
-            out[start, end] = Make(text[start : last[0]]) + out[last]
+            out[start, end] = Make.joined([Make(text[start : last[0]]), out[last]])
         else:
             out[start, end] = Make(text[start:end])
         last = start, end
@@ -186,22 +203,37 @@ def _block(text: str, key: int, at: int) -> tuple[int, int]:
     return _trimmed(text, begin, end)
 
 
-def _pairs(text: str):
-    """(target name, [(start, end) of each literal that makes up its value]) in the order of the text."""
-    constants: dict[str, list[tuple[int, int]]] = {}
+def _target(text: str, back: str, op: re.Match) -> str | None:
+    """The name before an operator; back: the text backwards."""
+    at = len(text) - op.start()
+    if op[0] == "=" and (m := _TYPED.match(back, at)):
+        name = m[1][::-1]
+        if f := _FIRST.search(name):
+            return name[f.start() :]
+    if not (m := _TARGET.match(back, at)):
+        return None
+    name = m[2][::-1]
+    f = _FIRST.search(name)
+    if f and m[1]:  # a quoted name is whole
+        return name if f.start() == 0 and back.startswith(m[1], m.end()) else None
+    return name[f.start() :] if f else None
+
+
+def _values(text: str) -> list[tuple[str, list[tuple[int, int] | int]]]:
+    """(target name, what its value is made of) in the order of the text: (start, end) of a literal, or the number of an earlier value."""
+    out: list[tuple[str, list[tuple[int, int] | int]]] = []
+    constants: dict[str, int] = {}
+    back = text[::-1]
     bare = (0, 0, -1)  # begin, end and last digit of the run of bare characters met last, read once for all places in it
     for op in _OPERATOR.finditer(text):
         at = op.end()
         if text.startswith("//", at):
             continue
-        before = text[max(0, op.start() - 140) : op.start()]
-        m = (_TYPED.search(before) if op[0] == "=" else None) or _TARGET.search(before)
-        if not m:
+        if not (name := _target(text, back, op)):
             continue
-        name = m[m.lastindex]
         while at < len(text) and text[at] in " \t":
             at += 1
-        parts: list[tuple[int, int]] = []
+        parts: list[tuple[int, int] | int] = []
         whole = True
         while True:
             if q := _TRIPLE.match(text, at):
@@ -211,7 +243,7 @@ def _pairs(text: str):
                 parts.append(q.span(q.lastindex))
                 at = q.end()
             elif (i := _NAME.match(text, at)) and i[0] in constants:
-                parts += constants[i[0]]
+                parts.append(constants[i[0]])
                 at = i.end()
             else:
                 if not parts:
@@ -232,14 +264,52 @@ def _pairs(text: str):
                 break
             at = j.end()
         if parts:
-            yield name, parts
-        if whole and parts and len(parts) <= 64:
-            constants[name] = parts
+            out.append((name, parts))
+        if whole and parts:
+            constants[name] = len(out) - 1
         else:
             constants.pop(name, None)
     for pattern, name in ((_FLAG, 1), (_ELEMENT, 1), (_PAIR, 2)):
-        for m in pattern.finditer(text):
-            yield m[name], [_trimmed(text, *m.span(m.lastindex))]
+        out += [(m[name], [_trimmed(text, *m.span(m.lastindex))]) for m in pattern.finditer(text)]
+    return out
+
+
+def _literals(text: str) -> dict[tuple[int, int], tuple[float, str]]:
+    """Score and name of each literal that reaches a name under which it is a secret."""
+    values = _values(text)
+    pem = "-----BEGIN" in text and "PRIVATE KEY" in text
+    weights = [name_weight(name) for name, _ in values]
+    uses = [int(pem or w > 0) for w in weights]
+    for i in range(len(values) - 1, -1, -1):
+        if uses[i]:
+            for p in values[i][1]:
+                if isinstance(p, int):
+                    uses[p] += 1
+    makes = _makes(text, {p for (_, parts), n in zip(values, uses, strict=True) if n for p in parts if not isinstance(p, int)})
+    known: dict[int, Make] = {}
+    reached: dict[int, tuple[float, str]] = {}
+    for i, (name, parts) in enumerate(values):
+        if not uses[i]:
+            continue
+        known[i] = Make.joined([known[p] if isinstance(p, int) else makes[p] for p in parts])
+        if weights[i] or pem:
+            uses[i] -= 1
+            if (score := known[i].score(weights[i])) >= THRESHOLD:
+                reached[i] = score, name
+        for p in [i, *parts]:  # lets go of makes that no later value needs
+            if isinstance(p, int):
+                uses[p] -= p != i
+                if not uses[p]:
+                    known.pop(p, None)
+    best: dict[tuple[int, int], tuple[float, str]] = {}
+    for i in range(len(values) - 1, -1, -1):
+        if i in reached:
+            for p in values[i][1]:
+                if isinstance(p, int):
+                    reached[p] = max(reached.get(p, (0.0, "")), reached[i])
+                elif p[1] > p[0]:
+                    best[p] = max(best.get(p, (0.0, "")), reached[i])
+    return best
 
 
 def findings(text: str | None) -> list[tuple[str, int, int, int, str, float]]:
@@ -248,17 +318,7 @@ def findings(text: str | None) -> list[tuple[str, int, int, int, str, float]]:
         return []
     found = _base(text)
     if "=" in text or ":" in text or "--" in text or "</" in text or "," in text:
-        best: dict[tuple[int, int], tuple[float, str]] = {}
-        pem = "-----BEGIN" in text and "PRIVATE KEY" in text
-        pairs = [(name, weight, parts) for name, parts in _pairs(text) if (weight := name_weight(name)) or pem]
-        makes = _makes(text, {p for _, _, parts in pairs for p in parts})
-        for name, weight, parts in pairs:
-            score = sum((makes[p] for p in parts[1:]), makes[parts[0]]).score(weight)
-            if score >= THRESHOLD:
-                for a, b in parts:
-                    if b > a:
-                        best[a, b] = max(best.get((a, b), (0.0, "")), (score, name))
-        found += [("literal", a, b, a, name, score) for (a, b), (score, name) in best.items()]
+        found += [("literal", a, b, a, name, score) for (a, b), (score, name) in _literals(text).items()]
     return sorted(found, key=lambda f: (f[1], KINDS.index(f[0]), f[2]))
 
 

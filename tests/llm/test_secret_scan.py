@@ -147,3 +147,21 @@ def test_redaction_leaves_nothing_of_a_pem_key(make_docs):
 def test_time_is_linear_in_blocks_and_quotes():
     for text in ('k = """' * 30_000, "k: |\n  x\n" * 20_000, "key = -----BEGIN PRIVATE KEY-----\n" * 10_000, '--token "x ' * 20_000, "<token>x y " * 20_000, "k: |\n" + "\n" * 200_000):
         assert literals(text) == set()
+
+
+@pytest.mark.parametrize("n", [64, 65, 1000])
+def test_constants_of_many_parts_and_long_names(n):
+    parts = [f"q8w7e6r{i}" for i in range(n)]
+    assert literals("a = " + " + \n".join(f'"{p}"' for p in parts) + "\nsecret = a") == set(parts)
+    assert literals('a = ""\n' + "".join(f'a = a + "{p}"\n' for p in parts) + "secret = a") == set(parts)
+    name = "n" * n
+    assert literals(f'{name}a = "q8w7e6r5"\n{name}b = "t4y3u2i1"\nsecret = {name}a') == {"q8w7e6r5"}
+    assert literals(f'let {name}_secret: string = "q8w7e6r5"') == {"q8w7e6r5"}
+    assert literals(f'secret_{name} = "q8w7e6r5"') == {"q8w7e6r5"}
+    assert literals(f'run --secret-{name} q8w7e6r5\n<{name}_secret>t4y3u2i1</{name}_secret>\n("{name}_secret", "p0o9i8u7")') == {"q8w7e6r5", "t4y3u2i1", "p0o9i8u7"}
+
+
+def test_constants_that_double_do_not_grow():
+    assert literals('a = "q8w7e6r5"\n' + "a = a + a\n" * 20_000 + "secret = a") == {"q8w7e6r5"}
+    assert len(literals('secret = "q8w7e6r5"\n' + "".join(f'secret = secret + "p{i}"\n' for i in range(5000)))) == 5001
+    assert literals("k" * 200_000 + ' = "q8w7e6r5"\n' + ("k" * 100 + " : ") * 2000) == set()
