@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Dataset, PipelineConfig
+from ..functions import sample_ip
 from ..operators import dedup, geo, merge, partitioning, rebalance, skew, validate
 from ..sinks import write_partitions, write_store
 from ..sources import csv_tuples, dataset_tuples, log_tuples, sample_lines
@@ -71,7 +72,7 @@ def run(spark: SparkSession, dataset: Dataset, to: str, config: PipelineConfig |
     tuples = csv_tuples(lines) if dataset.kind == "csv" else log_tuples(lines)
     bounds, sampling_skew = None, 0.0
     if config.strategy == "range":
-        sample = sample_lines(spark, dataset).select("site_id", "raw_line").withColumn("ip", F.regexp_extract("raw_line", r"^(\d{1,3}(?:\.\d{1,3}){3})", 1)).where("ip <> ''")
+        sample = sample_lines(spark, dataset).select("site_id", "raw_line").withColumn("ip", sample_ip(F.col("raw_line"))).where("ip <> ''")
         bounds = partitioning.fitted_bounds(sample, config.n_reducers, config.sample_size)
         drawn = partitioning.sampled(sample, config.sample_size).select(partitioning.range_rid(F.col("ipn"), bounds).alias("rid"))
         sampling_skew = skew.skew_factor(skew.received_counts(drawn, config.n_reducers)).first()["skew"]

@@ -1,7 +1,7 @@
 import json
 
 from logloom import sinks
-from logloom.config import Dataset, datasets
+from logloom.config import Dataset, PipelineConfig, datasets
 from logloom.plans import cli, pipeline
 from logloom.sources import completed_partitions, csv_tuples, dataset_tuples, log_lines, log_tuples, numbered_lines, read_intermediate, read_json_store
 from logloom.sources.logs import csv_lines
@@ -102,3 +102,15 @@ def test_streams(spark, tmp_path):
     push("b", [(2, "1.1.1.1 x"), (1, "1.1.1.1 z"), (3, "2.2.2.2 x")])
     last = max(p.name for p in (tmp_path / "store").glob("v*"))
     assert {r.ip: r.source_sites for r in spark.read.parquet(f"{to}/{last}").collect()} == {"1.1.1.1": [1, 2], "2.2.2.2": [3]}
+
+
+def test_run_samples_only_lines_that_the_sampler_reads(spark, tmp_path, monkeypatch):
+    write_logs(tmp_path)
+    with open(tmp_path / "news_access.log", "a") as f:
+        f.write("7.7.7.7 broken\n")
+    drawn = []
+    fitted = pipeline.partitioning.fitted_bounds
+    monkeypatch.setattr(pipeline.partitioning, "fitted_bounds", lambda rows, *a: drawn.extend(r.ip for r in rows.collect()) or fitted(rows, *a))
+    figures = pipeline.run(spark, datasets(str(tmp_path))["balanced"], str(tmp_path / "out"), PipelineConfig(strategy="range"))
+    assert sorted(drawn) == ["1.1.1.1", "1.1.1.1", "2.2.2.2", "2.2.2.2", "3.3.3.3", "9.9.9.9"]
+    assert figures["ip_global"] == 5  # the line is processed all the same
