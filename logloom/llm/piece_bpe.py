@@ -3,20 +3,22 @@
 A text splits before every run of blanks that follows another character, as no
 piece of the vocabulary continues past such a place (checked when the model is
 loaded), so its words can be merged on their own and each distinct word once.
-The symbols of all words lie in one flat array.  A round finds each word's
-best-scoring adjacent pair, the leftmost if tied, by a segmented minimum,
-merges those pairs in all words at once, removes the absorbed symbols, and sets
-aside the words that have no pair left.  One merge per word and round keeps the
-library's order of merges exactly.
+The symbols of all words lie in one flat array.  A round finds the least rank
+of each word's adjacent pairs by a segmented minimum and merges all its places
+at once, from the left and without overlap, in all words.  The library merges
+them one after another; that comes to the same unless a merge makes a pair of
+the same or a lesser rank, which is then next.  Every round looks for that, and
+a word's places to the right of such a merge wait.  Absorbed symbols are
+unlinked, and the arrays are compacted when two in five symbols are gone or
+belong to words without a pair.
 
 Very long words are first cut where no piece holds the two neighbouring
-characters together; what still has more than ``LONG`` symbols goes through a
-heap of pairs instead, as rounds would take time with the square of its length.
+characters together.  Rounds number as many as the distinct ranks in a word, not
+as its symbols, so words of any length go the same way.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 from functools import lru_cache
 
@@ -31,11 +33,10 @@ from .arrowmap import extended
 from .chunkcache import ChunkCache
 from .textarrays import blocks, gather
 
-#: Symbols of a segment beyond which a heap replaces the rounds.
-LONG = 512
 BLANK = "▁"
 _BLANK_UTF8 = BLANK.encode()
-_NONE = np.int64(2**63 - 1)
+#: Rank of a place without a pair, and the symbol of an absorbed one.
+_NONE, _GONE = np.int32(2**31 - 1), -2
 
 
 def _model_fields(data: bytes):
@@ -117,7 +118,7 @@ class Model:
         order = np.argsort(np.array(keys, np.int64))
         self.keys = np.array(keys, np.int64)[order]
         self.merged = np.array(merged, np.int32)[order]
-        self.ranks = np.array(ranks, np.int64)[order]
+        self.ranks = np.array(ranks, np.int32)[order]
         self.inner = np.array(sorted(inner), np.int64)
         bits = max(16, int(len(keys) * 8 - 1).bit_length())
         self.slot_bits = bits
@@ -178,107 +179,80 @@ class Model:
             cut &= np.repeat(sizes > 64, sizes)[1:]
             begin = np.union1d(begin[sizes > 0], np.flatnonzero(cut) + 1)
             owner = np.searchsorted(first, begin, "right") - 1
-        symbol = self.of_char[codes]
-        long = np.diff(np.append(begin, len(codes))) > LONG
-        done_sym, done_at = [], []  # symbols and the code index at which each began
-        place = np.arange(len(codes))
-        for i in np.flatnonzero(long):
-            a, b = begin[i], (begin[i + 1] if i + 1 < len(begin) else len(codes))
-            s, p = self._heap(symbol[a:b])
-            done_sym.append(s)
-            done_at.append(p + a)
-        if long.any():
-            keep = np.repeat(~long, np.diff(np.append(begin, len(codes))))
-            symbol, place = symbol[keep], place[keep]
-            length = np.diff(np.append(begin, len(codes)))[~long]
-        else:
-            length = np.diff(np.append(begin, len(codes)))
-        length = length[length > 0]
-        self._rounds(symbol, place, length, done_sym, done_at)
-        sym = np.concatenate(done_sym) if done_sym else np.empty(0, np.int32)
-        at = np.concatenate(done_at) if done_at else np.empty(0, np.int64)
+        length = np.diff(np.append(begin, len(codes)))
+        sym, at = self._rounds(self.of_char[codes], length[length > 0])
+        return self._spelled(sym, at, codes, first)
+
+    def _ranked(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and piece of each pair; _NONE where no piece is made of it."""
+        if not len(self.keys):
+            return np.full(len(left), _NONE), np.full(len(left), -1, np.int32)
+        found = self.pairs(left, right)
+        return np.where(found >= 0, self.ranks[found], _NONE), np.where(found >= 0, self.merged[found], np.int32(-1))
+
+    def _rounds(self, symbol: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of all words after their merges, and the place at which each began; length: each word's symbols, none of them 0."""
+        place = np.arange(len(symbol))
+        if not len(symbol):
+            return symbol, place
+        rank, merged = (np.append(x, x[:0].dtype.type(y)) for x, y in zip(self._ranked(symbol[:-1], symbol[1:]), (_NONE, -1), strict=True))
+        rank[np.cumsum(length)[:-1] - 1] = _NONE
+        done_sym, done_at = [], []
+        while len(symbol):
+            going, size = self._merged_until_sparse(symbol, rank, merged, length)
+            held, on = symbol != _GONE, np.repeat(going, length)
+            off = held & ~on
+            done_sym.append(symbol[off])
+            done_at.append(place[off])
+            on &= held
+            symbol, place, rank, merged, length = symbol[on], place[on], rank[on], merged[on], size[going]
+        sym, at = np.concatenate(done_sym), np.concatenate(done_at)
         order = np.argsort(at, kind="stable")
-        return self._spelled(sym[order], at[order], codes, first)
+        return sym[order], at[order]
 
-    def _rounds(self, symbol, place, length, done_sym, done_at) -> None:
-        if not len(symbol):
-            return
-        found = np.append(self.pairs(symbol[:-1], symbol[1:]), -1)
+    def _merged_until_sparse(self, symbol, rank, merged, length) -> tuple[np.ndarray, np.ndarray]:
+        """Rounds, in place, until two in five symbols need no more; which words have a pair left, and each word's symbols."""
+        n, size = len(symbol), length.copy()
         start = np.cumsum(length) - length
-        found[start[1:] - 1] = -1
-        rank = np.where(found >= 0, self.ranks[found], _NONE >> 32)
-        merged = np.where(found >= 0, self.merged[found], -1).astype(np.int32)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[start + length - 1] = -1
+        before[start] = -1
         while True:
-            n = len(symbol)
-            best = np.minimum.reduceat(rank << 32 | np.arange(n), start)
-            active = (best >> 32) != (_NONE >> 32)
-            if not active.all():
-                on = np.repeat(active, length)
-                done_sym.append(symbol[~on])
-                done_at.append(place[~on])
-                if not active.any():
-                    return
-                moved = np.cumsum(on) - 1
-                best = (best[active] & 0xFFFFFFFF)
-                best = moved[best]
-                symbol, place, rank, merged = symbol[on], place[on], rank[on], merged[on]
-                length = length[active]
-                n = len(symbol)
-            else:
-                best = best & 0xFFFFFFFF
-            symbol[best] = merged[best]
-            keep = np.ones(n, bool)
-            keep[best + 1] = False
-            symbol, place, rank, merged = symbol[keep], place[keep], rank[keep], merged[keep]
-            length = length - 1
-            start = np.cumsum(length) - length
-            at = best - np.arange(len(best))  # one symbol went out of each word before this one
-            last = start + length - 1
-            self._again(symbol, rank, merged, at, at < last)
-            self._again(symbol, rank, merged, at - 1, at > start)
-
-    def _again(self, symbol, rank, merged, at, valid) -> None:
-        ok = at[valid]
-        if len(ok):
-            got = self.pairs(symbol[ok], symbol[ok + 1])
-            rank[ok] = np.where(got >= 0, self.ranks[got], _NONE >> 32)
-            merged[ok] = np.where(got >= 0, self.merged[got], -1)
-        gone = at[~valid]
-        gone = gone[gone >= 0]
-        rank[gone] = _NONE >> 32
-
-    def _heap(self, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n = len(symbol)
-        sym = symbol.tolist()
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-        pair = dict(zip(self.keys.tolist(), zip(self.ranks.tolist(), self.merged.tolist(), strict=True), strict=True)) if not hasattr(self, "_pair") else self._pair
-        self._pair = pair
-        heap = []
-
-        def push(a):
-            b = right[a]
-            if b >= 0 and sym[a] >= 0 and sym[b] >= 0 and (got := pair.get(sym[a] * self.n_symbols + sym[b])):
-                heap.append((got[0], a, b, sym[a], sym[b], got[1])) if building else heapq.heappush(heap, (got[0], a, b, sym[a], sym[b], got[1]))
-
-        building = True
-        for a in range(n - 1):
-            push(a)
-        heapq.heapify(heap)
-        building = False
-        alive = [True] * n
-        while heap:
-            _, a, b, x, y, z = heapq.heappop(heap)
-            if not alive[a] or not alive[b] or right[a] != b or sym[a] != x or sym[b] != y:
-                continue
-            sym[a], alive[b] = z, False
-            right[a] = right[b]
-            if right[b] >= 0:
-                left[right[b]] = a
-            push(a)
-            if left[a] >= 0:
-                push(left[a])
-        at = np.flatnonzero(alive)
-        return np.array([sym[i] for i in at], np.int32), at
+            least = np.minimum.reduceat(rank, start)
+            going = least != _NONE
+            if 5 * int(size[going].sum()) < 3 * n or not going.any():
+                return going, size
+            least[~going] = -1
+            c = np.flatnonzero(rank == (least[0] if len(least) == 1 else np.repeat(least, length)))
+            follows = after[c[:-1]] == c[1:]
+            if follows.any():  # of places that overlap every second one, from the left
+                i = np.arange(len(c))
+                i[1:][follows] = 0
+                c = c[((np.arange(len(c)) - np.maximum.accumulate(i)) & 1) == 0]
+            absorbed, left = after[c], before[c]
+            right, new = after[absorbed], merged[c]
+            touching = np.zeros(len(c), bool)  # the place before ends where this one begins
+            touching[1:] = right[:-1] == c[1:]
+            beside = np.where(left >= 0, symbol[left], -1)
+            beside[1:][touching[1:]] = new[:-1][touching[1:]]
+            left[1:][touching[1:]] = c[:-1][touching[1:]]
+            left_rank, left_piece = self._ranked(beside, new)
+            right_rank, right_piece = self._ranked(new, np.where(right >= 0, symbol[right], -1))
+            first = np.minimum(left_rank, right_rank) <= rank[c]
+            word = np.searchsorted(start, c, "right") - 1 if len(start) > 1 else np.zeros(len(c), np.int64)
+            if first.any():  # what such a merge makes comes before the word's places to its right
+                earlier = np.cumsum(first) - first
+                keep = earlier == earlier[np.searchsorted(word, word)]
+                c, absorbed, left, right, new, word = c[keep], absorbed[keep], left[keep], right[keep], new[keep], word[keep]
+                left_rank, left_piece, right_rank, right_piece = left_rank[keep], left_piece[keep], right_rank[keep], right_piece[keep]
+            symbol[c], symbol[absorbed], rank[absorbed] = new, _GONE, _NONE
+            rank[c], merged[c] = right_rank, right_piece
+            some = left >= 0
+            rank[left[some]], merged[left[some]] = left_rank[some], left_piece[some]
+            after[c] = right
+            some = right >= 0
+            before[right[some]] = c[some]
+            size -= np.bincount(word, minlength=len(size))
 
     def _spelled(self, sym, at, codes, first) -> tuple[np.ndarray, np.ndarray]:
         """Replaces symbols that are no piece by their characters' bytes."""

@@ -28,11 +28,9 @@ ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 _rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
-_P = 0x9E3779B97F4A7C15 | 5
-_PINV = pow(_P, -1, 2**64)
 _Q = _rng.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
-_powers: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.uint64), np.empty(0, np.uint64))
+#: Keeps the lowest 0 to 8 bytes of a number.
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,22 +43,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) >= n:
-        return _powers
-    out = []
-    for base in (_P, _PINV):
-        table, have = np.ones(1, np.uint64), 1
-        while have < n:
-            step = np.uint64(pow(base, have, 2**64))
-            table = np.concatenate([table, table * step])
-            have *= 2
-        out.append(table)
-    made = (out[0], out[1])
-    if n <= 4 * BLOCK:
-        _powers = made
-    return made
+def lanes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of each stretch as numbers of 8 bytes (zeros after its end), and where each one's begin (one entry more)."""
+    size = end - start
+    count = (size + 7) >> 3
+    first = np.concatenate([[0], np.cumsum(count)])
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    loads = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))  # the 8 bytes from every byte on
+    if first[-1] == len(size) and (count == 1).all():
+        return loads[start] & _LOW_BYTES[size], first
+    nth = np.arange(first[-1]) - np.repeat(first[:-1], count)
+    return loads[np.repeat(start, count) + 8 * nth] & _LOW_BYTES[np.minimum(np.repeat(size, count) - 8 * nth, 8)], first
+
+
+def hashes(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64 bits of each stretch, from its lanes and its length in bytes.
+
+    Every lane is mixed together with its place before the lanes are summed, so
+    no arrangement of bytes cancels another, whatever the stretch's length.
+    """
+    count = np.diff(first)
+    if (count == 1).all():
+        total = mix(values ^ np.uint64(0x8E9A1F1D3C5B7A69))
+    else:
+        nth = (np.arange(len(values)) - np.repeat(first[:-1], count)).astype(np.uint64)
+        mixed = mix(values ^ np.uint64(0x8E9A1F1D3C5B7A69) ^ mix(nth) * (nth > 0))
+        total = np.zeros(len(size), np.uint64)
+        some = count > 0
+        total[some] = np.add.reduceat(mixed, first[:-1][some]) if len(values) else 0
+    return mix(total + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -120,11 +131,8 @@ def _piece(low: np.ndarray, is_word: np.ndarray, breaks: np.ndarray) -> tuple[np
     start, end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
     if not len(start):
         return start, end, np.empty(0, np.uint64)
-    power, inverse = _power_table(n)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_BYTE[low] * power[:n], out=total[1:])
-    return start, end, mix((total[end] - total[start]) * inverse[start])
+    values, first = lanes(low, start, end)
+    return start, end, hashes(values, first, end - start)
 
 
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> Words:
