@@ -41,8 +41,10 @@ RANK_EVERY = 512
 #: Ids after which a task begins its next file.
 FILE_IDS = 4 << 20
 WIDTHS = (8, 8, 16)
-#: Chunks of text whose ids a worker remembers, about 60 bytes each.
-REMEMBERED = 1_200_000
+#: Files that one task reads back.
+READ_FILES = 4
+#: Chunks of text whose ids a worker remembers, about 90 bytes each.
+REMEMBERED = 1_000_000
 
 
 # -- the format ------------------------------------------------------------------
@@ -276,13 +278,23 @@ def written(docs: DataFrame, model: str, to: str | None = None, end_id: int = 2,
 def read(manifest: DataFrame) -> DataFrame:
     """One row per document from the files: doc_id, start, n_tokens, ids_crc32, path.
 
-    Places in the whole corpus follow from the manifest's running sum, one row
-    per file; files are then read independently.
+    Places in the whole corpus follow from running sums: over the files of each
+    part, and over the parts, one row for each writing task.  Files are then
+    read independently, READ_FILES in a task: their number is given, so adaptive
+    execution doesn't put the small manifest, and with it the whole corpus, into
+    one task.
     """
     spark: SparkSession = manifest.sparkSession
     ship(spark)
-    before = F.sum("n_ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))
-    files = manifest.select("path", F.coalesce(before, F.lit(0)).alias("base")).repartition("path")
+
+    def before(sums, column: str):
+        return F.coalesce(F.sum(column).over(sums.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("__ids"), F.count("*").alias("__files"))
+    tasks = -(-(parts.agg(F.sum("__files")).first()[0] or 0) // READ_FILES)
+    starts = parts.select("part", before(Window.orderBy("part"), "__ids").alias("__start"))
+    inside = before(Window.partitionBy("part").orderBy("seq"), "n_ids")
+    files = manifest.withColumn("__inside", inside).join(starts, "part").select("path", (F.col("__start") + F.col("__inside")).alias("base")).repartition(max(1, tasks))
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("path", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

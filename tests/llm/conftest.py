@@ -24,6 +24,14 @@ def prose(rng, n):
     return " ".join(rng.choice(WORDS) + rng.choice(["", "", "", "a", "ing", "é", ","]) for _ in range(n))
 
 
+def thue_morse(n):
+    """The word of 2**n letters that a hash by powers modulo 2**64 can't tell from its complement."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
 @pytest.fixture(scope="session")
 def make_docs(spark):
     def make(texts, ids=None):

@@ -9,6 +9,8 @@ import sentencepiece
 from logloom.llm import piece_bpe
 from logloom.llm.chunkcache import ChunkCache
 
+from .conftest import thue_morse
+
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -40,14 +42,6 @@ def test_encodes_and_decodes_like_the_library(library):
     assert piece_bpe.load(PATH).decode(ids, first) == [library.decode(w).encode() for w in want]
 
 
-def thue_morse(n):
-    """The word of 2**n letters that a hash by powers modulo 2**64 can't tell from its complement."""
-    word = "a"
-    for _ in range(n):
-        word += word.translate(str.maketrans("ab", "ba"))
-    return word, word.translate(str.maketrans("ab", "ba"))
-
-
 def test_words_that_power_hashes_confuse(library, make_docs):
     texts = [t for n in (10, 11, 12) for t in thue_morse(n)]
     enc = piece_bpe.Encoder(piece_bpe.load(PATH))

@@ -6,10 +6,13 @@ from pathlib import Path
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql.functions import countDistinct, spark_partition_id
 from tokenizers import Tokenizer
 
 from logloom.llm import token_store
 
+from .conftest import thue_morse
+
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -90,6 +93,26 @@ def test_files_and_query(spark, library, make_docs, odd_texts, tmp_path):
     assert token_store.report(docs.limit(0), PATH).count() == 0
 
 
+def test_files_are_read_back_by_many_tasks(spark, make_docs, tmp_path):
+    """Under adaptive execution too the number of reading tasks grows with the files."""
+    docs = make_docs([f"document {i} text with a few words" for i in range(400)]).repartition(4)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    for ids in (300, 60):
+        manifest = token_store.written(docs, PATH, f"{tmp_path.as_uri()}/{ids}", file_ids=ids)
+        files = manifest.count()
+        rows = token_store.read(manifest).withColumn("task", spark_partition_id())
+        tasks = rows.groupBy("task").agg(countDistinct("path").alias("files")).collect()
+        assert len(tasks) == -(-files // token_store.READ_FILES) and max(r.files for r in tasks) <= token_store.READ_FILES + 1
+        assert rows.agg(countDistinct("doc_id")).first()[0] == 400
+
+
+def test_words_that_power_hashes_confuse(make_docs, library):
+    texts = [t for n in (10, 11, 12) for t in thue_morse(n)]
+    got = {r.doc_id: r.ids_crc32 for r in token_store.report(make_docs(texts), PATH).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == zlib.crc32(np.array(library.encode(t, add_special_tokens=False).ids + [2], "<u4").tobytes())
+
+
 def test_null_and_repeated_ids(make_docs, library):
     docs = make_docs(["b", "a", "x y", "x y"], [None, 5, 3, 3])
     got = sorted((tuple(r) for r in token_store.report(docs, PATH).collect()), key=lambda r: r[1])
