@@ -5,7 +5,7 @@ import numpy as np
 from logloom.llm import jaccard_join
 from logloom.llm.graph import components
 
-from .conftest import prose, spaced_words
+from .conftest import prose, spaced_words, thue_morse
 
 
 def shingles(text):
@@ -59,8 +59,8 @@ def test_matches_brute_force_for_any_blocks(make_docs, odd_texts):
     want = brute(list(enumerate(texts)))
     assert sum(w[0] != w[2] for w in want) > 60
     docs = make_docs(texts).repartition(3)
-    for block in (2048, 9):
-        got = jaccard_join.groups(docs, block=block)
+    for block, hot in ((2048, 1 << 16), (9, 4), (3, 1)):
+        got = jaccard_join.groups(docs, block=block, hot=hot)
         assert got.columns == ["doc_id", "n_shingles", "component_id"]
         assert sorted((tuple(r) for r in got.collect()), key=repr) == want
 
@@ -72,6 +72,29 @@ def test_null_and_repeated_ids(make_docs):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows)
 
 
+def test_words_that_power_hashes_confuse(make_docs):
+    texts = [t for n in (10, 11, 12) for t in thue_morse(n)]
+    assert all(r.component_id == r.doc_id for r in jaccard_join.groups(make_docs(texts)).collect())
+
+
+def test_a_large_group_of_near_copies_and_its_outliers(make_docs):
+    """Texts that link with no pivot still meet those that do."""
+    rng = random.Random(12)
+    base = prose(rng, 120).split()
+    texts = []
+    for _ in range(150):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            w[rng.randrange(len(w))] = f"x{rng.randint(0, 99)}"
+        texts.append(" ".join(w))
+    for k in range(1, 25):  # a chain that leads away from the group
+        texts.append(" ".join([*(f"y{i}" for i in range(3 * k)), *base[3 * k :]]))
+    want = brute(list(enumerate(texts)))
+    for block in (16, 40):
+        got = jaccard_join.groups(make_docs(texts).repartition(5), block=block)
+        assert sorted((tuple(r) for r in got.collect()), key=repr) == want
+
+
 def test_empty_table(make_docs):
     assert jaccard_join.groups(make_docs(["a"]).limit(0)).count() == 0
     assert [tuple(r) for r in jaccard_join.groups(make_docs([None])).collect()] == [(0, 0, 0)]
@@ -90,7 +113,9 @@ def test_bitmaps_never_rule_out_a_link():
     sets.sort(key=len)
     h, n = np.concatenate(sets), np.array([len(s) for s in sets])
     first = np.concatenate([[0], np.cumsum(n)])
-    root = jaccard_join._may_link(n, jaccard_join._row_bitmaps(h, first))
+    root = jaccard_join._may_link(n, jaccard_join._row_bitmaps(h, first), None)
+    side = rng.integers(0, 2, len(sets))
+    cross = jaccard_join._may_link(n, jaccard_join._row_bitmaps(h, first), side)
     exact = jaccard_join.connected(h, first, np.arange(len(sets)), None)
     links = 0
     for i in range(len(sets)):
@@ -98,7 +123,7 @@ def test_bitmaps_never_rule_out_a_link():
             k = len(np.intersect1d(sets[i], sets[j]))
             if 100 * k >= 80 * (n[i] + n[j] - k):
                 links += 1
-                assert root[i] == root[j] and exact[i] == exact[j]
+                assert root[i] == root[j] and exact[i] == exact[j] and (side[i] == side[j] or cross[i] == cross[j])
     assert links > 20 and len(set(exact.tolist())) > 20
 
 
