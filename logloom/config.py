@@ -15,7 +15,9 @@ class PipelineConfig:
     strategy: "hash" (FNV-1a 64 of the address) or "range" (sampled
     boundaries).  compat_source_sites: list for each address all sites that
     its partition has seen rather than its own.  allow_empty: let validation
-    pass when input and output are both empty.
+    pass when input and output are both empty.  networks: path of a table of
+    networks for places; places are synthetic without one.  memory_threshold:
+    percentage of memory in use above which a phase is reported.
     """
 
     n_reducers: int = 4
@@ -29,6 +31,8 @@ class PipelineConfig:
     allow_empty: bool = False
     max_attempts: int = 3
     backoff_base: float = 1.5
+    networks: str | None = None
+    memory_threshold: float = 80.0
 
     def __post_init__(self):
         if self.n_reducers < 1 or self.strategy not in ("hash", "range"):

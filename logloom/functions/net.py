@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ COMBINED = r'^(\S+) \S+ \S+ \[([^\]]+)\] "([A-Z]+) ([^"]*) HTTP/(\d\.\d)" (\d{3}
 COMBINED_FIELDS = ("ip", "time", "method", "path", "http", "status", "size", "ref", "agent")
 FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+
 _MASK = 0xFFFFFFFF
 
 
@@ -24,6 +28,11 @@ def parse_ip(line: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.regexp_replace(line, "^�+", ""), IP, 1), F.lit(""))
 
 
+def is_address(ip: Column) -> Column:
+    """Whether a text is a whole address: four numbers from 0 to 255 without leading zeros."""
+    return F.coalesce(ip.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}\z"), F.lit(False))
+
+
 def sample_ip(line: Column) -> Column:
     """The sampler's stricter reading: '' unless the line holds a quote or " - - ["."""
     return F.when(line.contains(" - - [") | line.contains('"'), parse_ip(line)).otherwise(F.lit(""))
@@ -66,8 +75,8 @@ def _bytes(text: Column) -> Column:
     return F.when(n == 0, F.array().cast("array<bigint>")).when(n == F.length(text), plain).otherwise(other)
 
 
-def fnv1a_64(text: Column) -> Column:
-    """FNV-1a 64 of the UTF-8 bytes as struct(hi, lo) of unsigned 32-bit halves in longs.
+def fnv1a_64(text: Column, finish: Callable[[Column], Column] | None = None) -> Column:
+    """FNV-1a 64 of the UTF-8 bytes as struct(hi, lo) of unsigned 32-bit halves in longs, or what finish makes of that.
 
     The prime is 2**40 + 435, so a step needs no product beyond 63 bits.
     """
@@ -81,10 +90,9 @@ def fnv1a_64(text: Column) -> Column:
         high = s["hi"] * small + F.shiftleft(x, 8) + F.shiftright(low, 32)
         return F.struct(high.bitwiseAND(mask).alias("hi"), low.bitwiseAND(mask).alias("lo"))
 
-    return F.aggregate(_bytes(text), start, step)
+    return F.aggregate(_bytes(text), start, step, finish)
 
 
 def fnv_mod(text: Column, n: int) -> Column:
     """FNV-1a 64 of a text, as an unsigned number, modulo n."""
-    h = fnv1a_64(text)
-    return F.pmod(F.pmod(h["hi"], F.lit(n)) * F.lit((1 << 32) % n) + F.pmod(h["lo"], F.lit(n)), F.lit(n)).cast("int")
+    return fnv1a_64(text, lambda h: F.pmod(F.pmod(h["hi"], F.lit(n)) * F.lit((1 << 32) % n) + F.pmod(h["lo"], F.lit(n)), F.lit(n)).cast("int"))

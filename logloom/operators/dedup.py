@@ -46,13 +46,14 @@ def pipeline_counts(lines: DataFrame, tuples: DataFrame) -> DataFrame:
     return rows.join(ips).select("rows_read", "ip_local", "ip_global", (F.col("ip_local") - F.col("ip_global")).alias("skipped"))
 
 
-def chunk_hit_rates(routed: DataFrame, chunk_size: int = 2048, order: tuple[str, ...] = ("site_id", "ip")) -> DataFrame:
+def chunk_hit_rates(routed: DataFrame, chunk_size: int = 2048, order: tuple[str, ...] = ("site_id", "ip"), n: int | None = None) -> DataFrame:
     """rid, chunk_id, received, local_dup, global_dup, hit_rate of chunks of each partition's tuples.
 
     Arrival order is ``order``.  local_dup: tuples whose address came before in
     their chunk; global_dup: before in their partition; hit_rate: global_dup per
     tuple, to four places.  Only statistics need these windows; the address
-    windows are dealt by (rid, ip).  A partition without tuples has no chunk here.
+    windows are dealt by (rid, ip).  With the number n of partitions, one without
+    tuples has one chunk, of nothing and with a hit rate of 0.
     """
     by = [F.col(c) for c in order]
     numbered = numbered_tuples(routed, order).withColumn("chunk_id", F.expr(f"(rn - 1) div {chunk_size}"))
@@ -60,7 +61,18 @@ def chunk_hit_rates(routed: DataFrame, chunk_size: int = 2048, order: tuple[str,
     in_chunk = F.row_number().over(Window.partitionBy("rid", "ip", "chunk_id").orderBy(*by))
     marked = numbered.withColumns({"g": (in_part > 1).cast("bigint"), "l": (in_chunk > 1).cast("bigint")})
     sums = marked.groupBy("rid", "chunk_id").agg(F.count("*").alias("received"), F.sum("l").alias("local_dup"), F.sum("g").alias("global_dup"))
-    return sums.withColumn("hit_rate", F.round(F.col("global_dup") / F.col("received"), 4))
+    rates = sums.withColumn("hit_rate", F.round(F.col("global_dup") / F.col("received"), 4))
+    if n is None:
+        return rates
+    none = F.lit(0).cast("bigint")
+    empty = routed.sparkSession.range(n).select(F.col("id").cast("int").alias("rid")).join(rates.select("rid").distinct(), "rid", "left_anti")
+    return rates.unionByName(empty.select("rid", none.alias("chunk_id"), none.alias("received"), none.alias("local_dup"), none.alias("global_dup"), F.lit(0.0).alias("hit_rate")))
+
+
+def chunk_summary(rates: DataFrame) -> DataFrame:
+    """rid, n_chunks, avg_hit_rate, max_hit_rate; the mean, of rates of four places, to six."""
+    mean = F.round((F.sum(F.round(F.col("hit_rate") * 10_000).cast("bigint")) / F.count("*")) / 10_000, 6)
+    return rates.groupBy("rid").agg(F.count("*").alias("n_chunks"), mean.alias("avg_hit_rate"), F.max("hit_rate").alias("max_hit_rate"))
 
 
 def numbered_tuples(routed: DataFrame, order: tuple[str, ...]) -> DataFrame:

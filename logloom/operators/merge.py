@@ -22,6 +22,11 @@ def merged(records: DataFrame, union_sites: bool = False) -> DataFrame:
     return kept.select("ip", *[F.col("__sites" if union_sites and c == "source_sites" else f"r.{c}").alias(c) for c in rest])
 
 
+def write_count(records: DataFrame) -> int:
+    """Writes that records stand for: every one with an address, also where a later one replaces it."""
+    return records.where("ip is not null").count()
+
+
 def upserted(table: DataFrame, records: DataFrame) -> DataFrame:
     """table with records' rows in place of those with the same address; records must be distinct by address.
 

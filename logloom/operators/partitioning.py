@@ -14,8 +14,12 @@ from ..functions.net import fnv_mod, ip_to_int
 
 
 def hash_routed(tuples: DataFrame, n: int) -> DataFrame:
-    """Adds rid = FNV-1a 64 of the address modulo n."""
-    return tuples.withColumn("rid", fnv_mod(F.col("ip"), n))
+    """Adds rid = FNV-1a 64 of the address modulo n, -1 for a null address.
+
+    As rid can't be null, no join on it makes Catalyst test the hash for null
+    in a filter at the scan, where it would be computed for every line.
+    """
+    return tuples.withColumn("rid", F.coalesce(fnv_mod(F.col("ip"), n), F.lit(-1)))
 
 
 def equal_width_bounds(n: int) -> list[int]:
@@ -32,6 +36,19 @@ def sampled(addresses: DataFrame, size: int) -> DataFrame:
     return addresses.select(key.alias("k"), ip_to_int(F.col("ip")).alias("ipn")).orderBy("k", "ipn").limit(size).select("ipn")
 
 
+def weighted_sample(counts: DataFrame, size: int) -> DataFrame:
+    """ipn of ``size`` draws from addresses that occur n times each; counts: ip, site_id, n.
+
+    As if every occurrence were a row of ``sampled``, without those rows: an
+    address gets at most ``size`` draws, as no more can be among the least, and
+    their keys are scaled to the share that they stand for.  Repeatable.
+    """
+    some = F.least("n", F.lit(size))
+    drawn = counts.select("ip", "site_id", (some / F.col("n")).alias("share"), F.explode(F.sequence(F.lit(1).cast("bigint"), some)).alias("j"))
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", "ip", F.col("site_id").cast("string"), F.col("j").cast("string"))), 1, 12), 16, 10).cast("double")
+    return drawn.select((u * F.col("share")).alias("k"), ip_to_int(F.col("ip")).alias("ipn")).orderBy("k", "ipn").limit(size).select("ipn")
+
+
 def quantile_bounds(sample: DataFrame, n: int) -> DataFrame:
     """One row with bounds: 0, the sample's values at places i/n of its size, and 2**32.
 
@@ -61,6 +78,18 @@ def fitted_bounds(addresses: DataFrame, n: int, size: int = 10_000) -> list[int]
     return list(quantile_bounds(sampled(addresses, size), n).first()["bounds"])
 
 
-def grouped_ips(routed: DataFrame) -> DataFrame:
-    """rid with the list of its addresses; for small tables, as a list is one row."""
+def boundary_report(bounds: Sequence[int]) -> str:
+    """The last octets of each range's first and last address, as R0:0-255 | R1:..."""
+    return " | ".join(f"R{i}:{lo % 256}-{(hi - 1) % 256}" for i, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))) or "no boundaries"
+
+
+def grouped_ips(routed: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """rid with the list of its addresses.
+
+    A list is one row of one task, so a partition of more than ``most``
+    addresses is refused; write_partitions groups tables of any size.
+    """
+    rids = routed.groupBy("rid").agg(F.count("*").alias("n")).where(F.col("n") > most).limit(1).collect()
+    if rids:
+        raise ValueError(f"partition {rids[0]['rid']} has more than {most} addresses: use write_partitions")
     return routed.groupBy("rid").agg(F.sort_array(F.collect_list("ip")).alias("ips"))

@@ -57,19 +57,37 @@ def rebalanced(routed: DataFrame, n: int, threshold: float = 0.5, most: int = 10
 
     Addresses of one number leave in descending order of site.  Afterwards rid
     no longer follows from the address: remove repeats by address, not by rid.
+    The tuples of all partitions that give are numbered and written once; only a
+    partition that gives after it has received is numbered anew.
     """
     counts = dict.fromkeys(range(n), 0) | {r["rid"]: r["count"] for r in routed.groupBy("rid").count().collect()}
-    moves, now, out = planned_moves(counts, threshold, most), dict(counts), routed
-    for m in moves:
-        keyed = out.withColumn("__ipn", ip_to_int(F.col("ip")))
-        hot = numbered_tuples(keyed.where(F.col("rid") == m.hot), ("__ipn", "site_id", "ip"))
-        moved = hot.withColumn("rid", F.when(F.col("rn") > now[m.hot] - m.n, F.lit(m.cold)).otherwise(F.col("rid")))
-        out = keyed.where(F.col("rid") != m.hot).drop("__ipn").unionByName(moved.drop("rn", "__ipn"))
-        now[m.hot] -= m.n
-        now[m.cold] += m.n
+    moves, out = planned_moves(counts, threshold, most), routed
+    left = list(moves)
+    while left:
+        out, left = _moved(out, counts, left)
     return out, moves
 
 
+def _moved(routed: DataFrame, counts: dict[int, int], moves: list[Move]) -> tuple[DataFrame, list[Move]]:
+    """routed after the leading moves that one numbering serves, and the other moves; counts follow."""
+    rid, rn = F.col("rid"), F.col("rn")
+    new, received, giving, k = rid, set(), set(), 0
+    for m in moves:
+        if m.hot in received:
+            break
+        new = F.when((rid == m.hot) & (rn > counts[m.hot] - m.n) & (rn <= counts[m.hot]), F.lit(m.cold)).otherwise(new)
+        counts[m.hot] -= m.n
+        received.add(m.cold)
+        giving.add(m.hot)
+        k += 1
+    for m in moves[:k]:
+        counts[m.cold] += m.n
+    keyed = routed.withColumn("__ipn", ip_to_int(F.col("ip")))
+    numbered = numbered_tuples(keyed.where(rid.isin(*giving)), ("__ipn", "site_id", "ip")).withColumn("rid", new)
+    rest = keyed.where(~rid.isin(*giving))
+    return rest.drop("__ipn").unionByName(numbered.drop("rn", "__ipn")), moves[k:]
+
+
 def steal_stats(moves: list[Move]) -> dict[str, float]:
     """Number of moves, tuples moved, skew before the first and after the last."""
     return {"total_steals": len(moves), "total_items_moved": sum(m.n for m in moves), "skew_before_first": moves[0].before if moves else 0.0, "skew_after_last": moves[-1].after if moves else 0.0}

@@ -34,6 +34,12 @@ def first_ips(ips: DataFrame, k: int = 10) -> DataFrame:
     return ips.select("ip").orderBy("ip").limit(k)
 
 
+def count_check(baseline: DataFrame, pipeline: DataFrame) -> DataFrame:
+    """One row: baseline_count, pipeline_count, passed if they are equal; cheaper and weaker than ``report``."""
+    b, p = (x.agg(F.countDistinct("ip").alias(f"{n}_count")) for x, n in ((baseline, "baseline"), (pipeline, "pipeline")))
+    return b.join(p).withColumn("passed", F.col("baseline_count") == F.col("pipeline_count"))
+
+
 def report(baseline: DataFrame, pipeline: DataFrame, allow_empty: bool = False) -> DataFrame:
     """One row: baseline_count, pipeline_count, missing, extra, passed, by one full outer join.
 

@@ -19,7 +19,7 @@ from ..sinks import write_csv, write_json_object
 from ..sources import completed_partitions, events_log, log_tuples, read_json_store
 from ..sources.logs import csv_lines, csv_tuples
 from ..streaming import distinct_tuples
-from . import pipeline
+from . import file_catalog, pipeline
 
 N = 4
 SAMPLE = 2000
@@ -248,7 +248,7 @@ def q36_stream_dedup(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: v for k, v in globals().items() if k[0] == "q" and k[1:3].isdigit()}
+    return {k: v for k, v in globals().items() if k[0] == "q" and k[1:3].isdigit()} | file_catalog.queries()
 
 
 # -- SQL ---------------------------------------------------------------------------
@@ -286,6 +286,16 @@ def _skew_sql(counts: str) -> str:
     return f"SELECT skew, CASE WHEN skew > 0.5 THEN 'high' WHEN skew > 0.2 THEN 'moderate' ELSE 'low' END AS level FROM (SELECT round((max(received) - min(received)) / avg(received), 6) AS skew FROM {counts})"
 
 
+#: The counts after each move, as one list, until the skew is at most 0.5, the fullest is within one of the mean, or ten are made.
+_REBALANCE_SQL = f""", moved AS (
+SELECT 0 AS step, list(received ORDER BY rid) AS c FROM ew UNION ALL
+SELECT step + 1, list_transform(range(1, {N + 1}), lambda i: CASE WHEN i = hot THEN c[i] - k WHEN i = cold THEN c[i] + k ELSE c[i] END) FROM (
+SELECT *, (high - mean) // 2 AS k FROM (
+SELECT step, c, list_max(c) AS high, list_min(c) AS low, list_sum(c)::BIGINT // {N} AS mean, list_sum(c)::BIGINT AS total, list_position(c, list_max(c)) AS hot, list_position(c, list_min(c)) AS cold FROM moved))
+WHERE step < 10 AND (high - low) * {N} > 0.5 * total AND high > mean + 1 AND k > 0)
+SELECT CAST(i - 1 AS INTEGER) AS rid, c[i] AS received FROM (SELECT c FROM moved ORDER BY step DESC LIMIT 1), range(1, {N + 1}) AS r(i)"""
+
+
 def oracle_sql() -> dict[str, str]:
     sql = {
         "q01_geo_store": "SELECT ip, country, city, latitude, longitude, source_sites FROM geo",
@@ -335,4 +345,7 @@ round(data_mb * 1.5 + 60 + ips * 80 / 1048576.0::DOUBLE + ips * 200 / 1048576.0:
         "q34_speedup_table": f"SELECT n, seconds, round(first_value(seconds) OVER (ORDER BY n) / seconds, 6) AS speedup, round(first_value(seconds) OVER (ORDER BY n) / seconds / n * 100, 6) AS efficiency FROM (VALUES {', '.join(f'({n}::INTEGER, {s}::DOUBLE)' for n, s in _TIMINGS)}) AS t(n, seconds)",
         "q36_stream_dedup": "SELECT ip, site_id FROM loc",
     }
-    return {k: _BASE + v for k, v in sql.items()}
+    out = {k: _BASE + v for k, v in (sql | file_catalog.sql()).items()}
+    out["q32_rebalance_counts"] = _BASE.replace("WITH", "WITH RECURSIVE", 1) + _REBALANCE_SQL
+    out["q35_completed_partitions"] = f"SELECT CAST(range AS INTEGER) AS rid, range IN (0, 3) AS done FROM range({N})"
+    return out

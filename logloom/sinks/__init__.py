@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_partitions(records: DataFrame, to: str, fmt: str = "parquet") -> None:
-    """Records by rid; a run replaces what an earlier one left."""
-    records.write.mode("overwrite").partitionBy("rid").format(fmt).save(to)
+def write_partitions(records: DataFrame, to: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
+    """Records by rid; a run replaces what an earlier one left, unless the mode is append."""
+    records.write.mode(mode).partitionBy("rid").format(fmt).save(to)
 
 
 def write_store(records: DataFrame, to: str, fmt: str = "json") -> None:

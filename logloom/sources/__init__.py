@@ -1,6 +1,7 @@
 """Readers."""
 
-from .logs import LOG_SCHEMA, csv_tuples, dataset_tuples, events_log, log_lines, log_tuples, numbered_lines, sample_lines
-from .stores import RECORD, completed_partitions, read_intermediate, read_json_store
+from .logs import LOG_SCHEMA, csv_lines, csv_tuples, dataset_rows, dataset_tuples, events_log, log_lines, log_tuples, numbered_lines
+from .networks import NETWORK, network_path, opened, read_networks
+from .stores import RECORD, completed_partitions, failed_partitions, read_intermediate, read_json_store
 
-__all__ = ["LOG_SCHEMA", "RECORD", "completed_partitions", "csv_tuples", "dataset_tuples", "events_log", "log_lines", "log_tuples", "numbered_lines", "read_intermediate", "read_json_store", "sample_lines"]
+__all__ = ["LOG_SCHEMA", "NETWORK", "RECORD", "completed_partitions", "csv_lines", "csv_tuples", "dataset_rows", "dataset_tuples", "events_log", "failed_partitions", "log_lines", "log_tuples", "network_path", "numbered_lines", "opened", "read_intermediate", "read_json_store", "read_networks"]

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Dataset
-from ..functions.net import parse_ip
+from ..functions.net import parse_ip, sample_ip
 
 LOG_SCHEMA = "site_id int, line_no bigint, raw_line string"
 CSV_SCHEMA = "ip string, site string, raw_line string"
@@ -22,27 +22,28 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(found)
 
 
-def _site(files: Mapping[int, str]) -> Column:
-    """Site of a row by its file's name."""
-    name = F.col("_metadata.file_name")
-    out = F.lit(None).cast("int")
-    for site, path in files.items():
-        out = F.when(name == path.rstrip("/").rpartition("/")[2], F.lit(site)).otherwise(out)
-    return out
+def log_lines(spark: SparkSession, files: Mapping[int, str]) -> DataFrame:
+    """site_id, raw_line of all sites' text logs.  Files that aren't there count as empty.
 
+    A site's path may be a file, a folder or a glob; sites are told apart by
+    their paths, so equal file names in different folders don't mix.
+    """
+    parts = [spark.read.text(p).select(F.lit(i).cast("int").alias("site_id"), F.col("value").alias("raw_line")) for i, p in files.items() if exists(spark, p)]
+    return _union(parts) if parts else spark.createDataFrame([], "site_id int, raw_line string")
 
-def log_lines(spark: SparkSession, files: Mapping[int, str]) -> DataFrame:
-    """site_id, raw_line of all sites' text logs in one scan.  Files that aren't there count as empty."""
-    found = {i: p for i, p in files.items() if exists(spark, p)}
-    if not found:
-        return spark.createDataFrame([], "site_id int, raw_line string")
-    return spark.read.text(list(found.values())).select(_site(found).alias("site_id"), F.col("value").alias("raw_line"))
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def csv_lines(spark: SparkSession, files: Mapping[int, str]) -> DataFrame:
     """site_id, ip, raw_line of all sites' CSV files; doubled quotes and line breaks inside quotes are understood.
 
-    Fields go by the header's names: a file without an ip column gives null ips.
+    As a quoted field may hold line breaks, a file can't be split: one task reads
+    one file, so large exports should come in many files.  Fields go by the header's names: a file without an ip column gives null ips.
     """
     found = {i: p for i, p in files.items() if exists(spark, p)}
     parts = []
@@ -50,12 +51,7 @@ def csv_lines(spark: SparkSession, files: Mapping[int, str]) -> DataFrame:
         read = spark.read.options(header=True, multiLine=True, quote='"', escape='"').csv(path)
         have = {c: c for c in read.columns}
         parts.append(read.select(F.lit(site).alias("site_id"), *[(F.col(have[c]) if c in have else F.lit(None)).cast("string").alias(c) for c in ("ip", "raw_line")]))
-    if not parts:
-        return spark.createDataFrame([], "site_id int, ip string, raw_line string")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _union(parts) if parts else spark.createDataFrame([], "site_id int, ip string, raw_line string")
 
 
 def log_tuples(lines: DataFrame) -> DataFrame:
@@ -68,22 +64,25 @@ def csv_tuples(rows: DataFrame) -> DataFrame:
     return rows.select(F.trim("ip").alias("ip"), "site_id").where("ip <> ''")
 
 
-def dataset_tuples(spark: SparkSession, dataset: Dataset) -> DataFrame:
-    """ip, site_id of a dataset; a site's file counts as CSV if the dataset does or its name ends in .csv."""
+def dataset_rows(spark: SparkSession, dataset: Dataset) -> DataFrame:
+    """ip ('' if none), site_id and sampled, the address that the sampler reads ('' if none), of every line or record.
+
+    A site's file counts as CSV if the dataset does or its name ends in .csv.
+    """
     csv = {i: p for i, p in dataset.files.items() if dataset.kind == "csv" or p.endswith(".csv")}
     logs = {i: p for i, p in dataset.files.items() if i not in csv}
-    out = log_tuples(log_lines(spark, logs)) if logs else None
+    raw = F.col("raw_line")
+    parts = []
+    if logs:
+        parts.append(log_lines(spark, logs).select(parse_ip(raw).alias("ip"), "site_id", sample_ip(raw).alias("sampled")))
     if csv:
-        rows = csv_tuples(csv_lines(spark, csv))
-        out = rows if out is None else out.unionByName(rows)
-    return out if out is not None else spark.createDataFrame([], "ip string, site_id int")
+        parts.append(csv_lines(spark, csv).select(F.coalesce(F.trim("ip"), F.lit("")).alias("ip"), "site_id", F.coalesce(sample_ip(raw), F.lit("")).alias("sampled")))
+    return _union(parts) if parts else spark.createDataFrame([], "ip string, site_id int, sampled string")
 
 
-def sample_lines(spark: SparkSession, dataset: Dataset) -> DataFrame:
-    """site_id, raw_line from which the sampler reads: lines of logs, raw_line of CSV records."""
-    if dataset.kind == "csv":
-        return csv_lines(spark, dataset.files).select("site_id", "raw_line")
-    return log_lines(spark, dataset.files)
+def dataset_tuples(spark: SparkSession, dataset: Dataset) -> DataFrame:
+    """ip, site_id of a dataset's lines and records that have an address; not yet distinct."""
+    return dataset_rows(spark, dataset).where("ip <> ''").select("ip", "site_id")
 
 
 def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -91,15 +90,16 @@ def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     Lines are numbered by two narrow passes over the same splits, which together
     keep files' order: one counts each partition's lines of a file, the other
-    adds a running number to the counts before it.  Nothing is sorted.
+    adds a running number to the counts before it.  Nothing is sorted.  Files go
+    by their paths; ``file`` is the name alone.
     """
-    lines = spark.read.text(paths).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("raw_line"), F.monotonically_increasing_id().alias("id"))
-    before = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("raw_line"), F.monotonically_increasing_id().alias("id"))
+    before = lines.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
-    w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = before.select("file", "block", "first_id", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
+    w = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = before.select("path", "block", "first_id", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
     site = F.regexp_replace(F.regexp_replace("file", r"\.[^.]*$", ""), "_access", "")
-    return lines.join(starts, ["file", "block"]).select(site.alias("site"), "file", (F.col("before") + F.col("id") - F.col("first_id") + 1).alias("line_no"), "raw_line")
+    return lines.join(starts, ["path", "block"]).select(site.alias("site"), "file", (F.col("before") + F.col("id") - F.col("first_id") + 1).alias("line_no"), "raw_line")
 
 
 def events_log(events: DataFrame, variant: str = "balanced") -> DataFrame:

@@ -26,6 +26,8 @@ def read_intermediate(spark: SparkSession, paths: list[str]) -> DataFrame:
 def read_json_store(spark: SparkSession, path: str) -> DataFrame:
     """Records of a central store: one JSON object by address, or an array of records.
 
+    Such a file is one value, so one task reads it; the table that write_store writes has no such limit.
+
     Records of an array without an address are dropped.  A file that is neither gives no rows.
     """
     whole = spark.read.text(path, wholetext=True)
@@ -47,6 +49,11 @@ def completed_partitions(spark: SparkSession, pattern: str, n: int) -> DataFrame
     return all_.join(ready, "rid", "left").withColumn("done", F.coalesce("done", F.lit(False)))
 
 
+def failed_partitions(spark: SparkSession, pattern: str, n: int) -> DataFrame:
+    """rid of the partitions that aren't done."""
+    return completed_partitions(spark, pattern, n).where("not done").select("rid")
+
+
 def _fields(schema: str) -> str:
     return ", ".join(f"{n}: {t}" for n, t in (f.strip().split(" ", 1) for f in schema.split(", ")))
 

@@ -3,7 +3,7 @@ import json
 from logloom import sinks
 from logloom.config import Dataset, PipelineConfig, datasets
 from logloom.plans import cli, pipeline
-from logloom.sources import completed_partitions, csv_tuples, dataset_tuples, log_lines, log_tuples, numbered_lines, read_intermediate, read_json_store
+from logloom.sources import completed_partitions, csv_tuples, dataset_tuples, log_lines, log_tuples, network_path, numbered_lines, opened, read_intermediate, read_json_store
 from logloom.sources.logs import csv_lines
 from logloom.streaming import distinct_tuples, store_sink
 
@@ -109,8 +109,71 @@ def test_run_samples_only_lines_that_the_sampler_reads(spark, tmp_path, monkeypa
     with open(tmp_path / "news_access.log", "a") as f:
         f.write("7.7.7.7 broken\n")
     drawn = []
-    fitted = pipeline.partitioning.fitted_bounds
-    monkeypatch.setattr(pipeline.partitioning, "fitted_bounds", lambda rows, *a: drawn.extend(r.ip for r in rows.collect()) or fitted(rows, *a))
+    weighted = pipeline.partitioning.weighted_sample
+    monkeypatch.setattr(pipeline.partitioning, "weighted_sample", lambda rows, *a: drawn.extend((r.ip, r.n) for r in rows.collect()) or weighted(rows, *a))
     figures = pipeline.run(spark, datasets(str(tmp_path))["balanced"], str(tmp_path / "out"), PipelineConfig(strategy="range"))
-    assert sorted(drawn) == ["1.1.1.1", "1.1.1.1", "2.2.2.2", "2.2.2.2", "3.3.3.3", "9.9.9.9"]
-    assert figures["ip_global"] == 5  # the line is processed all the same
+    assert sorted(drawn) == [("1.1.1.1", 2), ("2.2.2.2", 1), ("2.2.2.2", 1), ("3.3.3.3", 1), ("9.9.9.9", 1)]
+    assert figures["ip_global"] == 5 and figures["boundaries"].startswith("R0:")  # the line is processed all the same
+
+
+def test_equal_names_in_different_folders(spark, tmp_path):
+    for name, ip in (("a", "1.1.1.1"), ("b", "2.2.2.2")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "access.log").write_text(GOOD.format(ip) * 2)
+    files = {1: str(tmp_path / "a" / "access.log"), 2: str(tmp_path / "b" / "access.log"), 3: str(tmp_path / "a")}
+    assert sorted(tuple(r) for r in log_tuples(log_lines(spark, files)).distinct().collect()) == [("1.1.1.1", 1), ("1.1.1.1", 3), ("2.2.2.2", 2)]
+    numbered = numbered_lines(spark, [files[1], files[2]]).collect()
+    assert sorted((r.raw_line[0], r.line_no) for r in numbered) == [("1", 1), ("1", 2), ("2", 1), ("2", 2)]
+
+
+def lines_scanned(spark, first, after):
+    """Records that the stages of a range of numbers have read from files."""
+    store, total = spark.sparkContext._jsc.sc().statusStore(), 0
+    for k in range(first, after):
+        try:
+            total += store.lastStageAttempt(k).inputRecords()
+        except Exception:  # a stage that was skipped
+            continue
+    return total
+
+
+def test_a_run_reads_its_input_once(spark, tmp_path):
+    (tmp_path / "portal_access.log").write_text("".join(GOOD.format(f"1.1.1.{i % 50}") for i in range(20_000)))
+    dataset = datasets(str(tmp_path))["balanced"]
+    stages = spark.sparkContext._jsc.sc().dagScheduler().nextStageId
+    for strategy in ("hash", "range"):
+        first = stages()
+        figures = pipeline.run(spark, dataset, str(tmp_path / strategy), PipelineConfig(strategy=strategy))
+        assert figures["rows_read"] == 20_000 <= lines_scanned(spark, first, stages()) < 30_000
+
+
+def test_networks_are_found_and_read_with_a_way_back(spark, tmp_path):
+    assert network_path(spark, str(tmp_path)) is None and opened(spark, None) is None and opened(spark, str(tmp_path / "no.csv")) is None
+    (tmp_path / "broken.parquet").write_text("nonsense")
+    assert opened(spark, str(tmp_path / "broken.parquet")) is None
+    (tmp_path / "data").mkdir()
+    (tmp_path / "networks.csv").write_text("lo,hi,country\n0,1,A\n")
+    assert network_path(spark, str(tmp_path / "x"), str(tmp_path)) == f"{tmp_path}/networks.csv"
+    (tmp_path / "data" / "networks.csv").write_text("network,country,city,latitude,longitude\n1.0.0.0/8,Oneland,,1.5,\n1.2.3.77/24,,Town,,2\n1.2.3.4,X,,,\n0.0.0.0/0,All,,,\n")
+    path = network_path(spark, str(tmp_path))
+    assert path == f"{tmp_path}/data/networks.csv"
+    assert sorted((r.lo, r.hi, r.country) for r in opened(spark, path).collect() if r.country) == [(0, 2**32 - 1, "All"), (1 << 24, (2 << 24) - 1, "Oneland")]
+    write_logs(tmp_path)
+    figures = pipeline.run(spark, datasets(str(tmp_path))["balanced"], str(tmp_path / "out"), PipelineConfig(networks=path))
+    got = {r.ip: (r.country, r.city, r.latitude, r.longitude) for r in spark.read.parquet(str(tmp_path / "out" / "store")).collect()}
+    assert figures["geo_mode"] == "networks" and got["1.1.1.1"] == ("Oneland", "Unknown", 1.5, 0.0) and got["9.9.9.9"] == ("All", "Unknown", 0.0, 0.0)
+
+
+def test_recovery_computes_only_what_is_missing(spark, tmp_path):
+    write_logs(tmp_path)
+    dataset, to = datasets(str(tmp_path))["balanced"], str(tmp_path / "out")
+    config = PipelineConfig(rebalance=False)
+    pipeline.run(spark, dataset, to, config)
+    local = pipeline.routed(dataset_tuples(spark, dataset).distinct(), config)
+    rid = local.where("ip = '1.1.1.1'").first().rid
+    kept = {p: p.stat().st_mtime_ns for p in (tmp_path / "out" / "intermediate").glob("rid=*/*.parquet") if f"rid={rid}" not in str(p)}
+    for p in (tmp_path / "out" / "intermediate" / f"rid={rid}").iterdir():
+        p.unlink()
+    assert rid in pipeline.recovered(spark, local, to, config)
+    assert {p: p.stat().st_mtime_ns for p in kept} == kept and spark.read.parquet(f"{to}/store").count() == 4
+    assert rid not in pipeline.missing_partitions(spark, to, config.n_reducers)

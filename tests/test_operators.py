@@ -127,9 +127,78 @@ def test_validation(spark):
 
 def test_range_geo_prefers_the_narrowest_network(spark):
     networks = spark.createDataFrame([(0, 2**32 - 1, "Wide", "", None, 1.0), (1 << 24, (2 << 24) - 1, None, "Town", 2.0, None)], "lo bigint, hi bigint, country string, city string, latitude double, longitude double")
-    ips = spark.createDataFrame([("1.2.3.4",), ("9.9.9.9",), ("abc",)], "ip string")
+    others = ["abc", "1.2.3", "999.1.2.3", "1.2.3.4.5", "01.2.3.4", "", "1.2.3.4\n"]
+    ips = spark.createDataFrame([(x,) for x in ("1.2.3.4", "9.9.9.9", *others)], "ip string")
     got = {r.ip: tuple(r)[1:] for r in geo.with_range_geo(ips, networks).collect()}
     assert got["1.2.3.4"] == ("Unknown", "Town", 2.0, 0.0) and got["9.9.9.9"] == ("Wide", "Unknown", 0.0, 1.0)
+    synthetic = {r.ip: tuple(r)[1:] for r in geo.with_synthetic_geo(ips).collect()}
+    assert all(got[x] == synthetic[x] for x in others)
+
+
+def test_range_geo_against_a_loop(spark):
+    rng = random.Random(7)
+    networks = []
+    for _ in range(400):
+        lo = rng.randrange(1 << 32)
+        networks.append((lo, min(2**32 - 1, lo + rng.choice([0, 1, 63, 64, 65, 4000, 1 << 18, 3 << 24, rng.randrange(1 << 32)])), f"C{len(networks)}", "x", 1.0, 2.0))
+    numbers = [rng.randrange(1 << 32) for _ in range(200)] + [n for lo, hi, *_ in networks[:150] for n in (lo, hi)]
+    ips = spark.createDataFrame([(".".join(str(n >> s & 255) for s in (24, 16, 8, 0)),) for n in numbers], "ip string").distinct()
+    got = {r.ip: r.country for r in geo.with_range_geo(ips, spark.createDataFrame(networks, "lo bigint, hi bigint, country string, city string, latitude double, longitude double")).collect()}
+    for n in numbers:
+        fit = [(hi - lo, lo, c) for lo, hi, c, *_ in networks if lo <= n <= hi]
+        ip = ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
+        assert got[ip] == min(fit)[2] if fit else not got[ip].startswith("C") or got[ip] in ("China", "Canada")
+
+
+def test_routing_is_not_computed_in_the_scan(spark, some):
+    """The join on rid must not bring the hash into a filter below the distinct."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    from logloom.sources import events_log, log_tuples
+
+    routed = partitioning.hash_routed(dedup.local_distinct(log_tuples(events_log(events))), 4)
+    plan = skew.received_counts(routed, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter" in line and "aggregate(" in line for line in plan.splitlines()) and plan.count("aggregate(") == 1
+
+
+def test_moves_from_a_partition_that_has_received(spark, monkeypatch):
+    """One that gives after it has received is numbered anew; counts follow the plan."""
+    rng = random.Random(8)
+    rows = [(f"{rng.randint(1, 250)}.{rng.randint(0, 255)}.0.{i % 256}", 1, rid) for rid, n in ((0, 300), (1, 40), (2, 30), (3, 20)) for i in range(n)]
+    planned = [rebalance.Move(0, 1, 150, 0, 0), rebalance.Move(0, 2, 20, 0, 0), rebalance.Move(1, 3, 60, 0, 0), rebalance.Move(0, 3, 5, 0, 0)]
+    monkeypatch.setattr(rebalance, "planned_moves", lambda *a: list(planned))
+    out, moves = rebalance.rebalanced(spark.createDataFrame(rows, "ip string, site_id int, rid int"), 4)
+    now = {k: [r[0] for r in rows if r[2] == k] for k in range(4)}
+    number = lambda ip: [int(x) for x in ip.split(".")]
+    for m in planned:
+        now[m.hot].sort(key=lambda ip: (number(ip), ip))
+        now[m.hot], gone = now[m.hot][: -m.n], now[m.hot][-m.n :]
+        now[m.cold] += gone
+    got = {k: sorted(r.ip for r in out.where(F.col("rid") == k).collect()) for k in range(4)}
+    assert got == {k: sorted(v) for k, v in now.items()} and moves == planned
+
+
+def test_weighted_sample_is_that_of_rows(spark):
+    counts = spark.createDataFrame([("1.0.0.1", 1, 3), ("2.0.0.2", 1, 100_000), ("3.0.0.3", 2, 100_000)], "ip string, site_id int, n bigint")
+    drawn = [r.ipn >> 24 for r in partitioning.weighted_sample(counts, 2000).collect()]
+    assert len(drawn) == 2000 and drawn == [r.ipn >> 24 for r in partitioning.weighted_sample(counts, 2000).collect()]
+    assert drawn.count(1) <= 3 and abs(drawn.count(2) - 1000) < 150
+    assert partitioning.weighted_sample(counts.limit(1), 50).count() == 3
+
+
+def test_chunks_of_empty_partitions(spark):
+    df = spark.createDataFrame([(1, "a", 1, 1), (1, "a", 2, 2)], "rid int, ip string, site_id int, line_no int")
+    rates = dedup.chunk_hit_rates(df, 16, ("site_id", "line_no"), 3)
+    assert {(r.rid, r.chunk_id, r.received, r.hit_rate) for r in rates.collect()} == {(0, 0, 0, 0.0), (1, 0, 2, 0.5), (2, 0, 0, 0.0)}
+    assert {tuple(r) for r in dedup.chunk_summary(rates).collect()} == {(0, 1, 0.0, 0.0), (1, 1, 0.5, 0.5), (2, 1, 0.0, 0.0)}
+
+
+def test_reports_of_boundaries_and_groups(spark):
+    assert partitioning.boundary_report([0, 300, 2**32]) == "R0:0-43 | R1:44-255" and partitioning.boundary_report([]) == "no boundaries"
+    routed = spark.createDataFrame([(0, "b"), (0, "a"), (1, "c")], "rid int, ip string")
+    assert {r.rid: r.ips for r in partitioning.grouped_ips(routed).collect()} == {0: ["a", "b"], 1: ["c"]}
+    with pytest.raises(ValueError, match="write_partitions"):
+        partitioning.grouped_ips(routed, 1)
+    assert merge.write_count(spark.createDataFrame([("a",), ("a",), (None,)], "ip string")) == 2
 
 
 def test_addresses_that_are_none_have_a_fixed_place(spark):
