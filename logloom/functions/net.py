@@ -25,7 +25,7 @@ def parse_ip(line: Column) -> Column:
     an address and 1.2.3.4567 gives 1.2.3.456.  Digits are ASCII.  Bytes that
     weren't UTF-8, which the reader turned into U+FFFD, are skipped at the start.
     """
-    return F.coalesce(F.regexp_extract(F.regexp_replace(line, "^�+", ""), IP, 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(F.ltrim(line, F.lit("�")), IP, 1), F.lit(""))
 
 
 def is_address(ip: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.net import ip_to_int
+from ..scratch import materialized
 from .dedup import numbered_tuples
 
 
@@ -52,14 +53,17 @@ def planned_moves(counts: Mapping[int, int], threshold: float = 0.5, most: int =
     return moves
 
 
-def rebalanced(routed: DataFrame, n: int, threshold: float = 0.5, most: int = 10) -> tuple[DataFrame, list[Move]]:
+def rebalanced(routed: DataFrame, n: int, threshold: float = 0.5, most: int = 10, written: bool = False) -> tuple[DataFrame, list[Move]]:
     """routed with the rids after all moves, and the moves.
 
     Addresses of one number leave in descending order of site.  Afterwards rid
     no longer follows from the address: remove repeats by address, not by rid.
     The tuples of all partitions that give are numbered and written once; only a
-    partition that gives after it has received is numbered anew.
+    partition that gives after it has received is numbered anew.  routed is
+    written first unless it is read from a table already (``written``), as a
+    condition on rid would else be pushed below whatever made it, down to a scan.
     """
+    routed = routed if written else materialized(routed, "routed")
     counts = dict.fromkeys(range(n), 0) | {r["rid"]: r["count"] for r in routed.groupBy("rid").count().collect()}
     moves, out = planned_moves(counts, threshold, most), routed
     left = list(moves)

@@ -94,7 +94,7 @@ def run(spark: SparkSession, dataset: Dataset, to: str, config: PipelineConfig |
         skew_received = skew.skew_factor(skew.received_counts(local, config.n_reducers)).first()["skew"]
         moves: list[rebalance.Move] = []
         if config.rebalance:
-            local, moves = rebalance.rebalanced(local, config.n_reducers, config.skew_threshold, config.steal_iterations)
+            local, moves = rebalance.rebalanced(local, config.n_reducers, config.skew_threshold, config.steal_iterations, written=True)
         figures = skew.skew_factor(skew.received_counts(local, config.n_reducers), threshold=config.skew_threshold).first().asDict()
     with monitor.phase("reduce"):
         networks = opened(spark, config.networks)

@@ -165,7 +165,7 @@ def test_moves_from_a_partition_that_has_received(spark, monkeypatch):
     rng = random.Random(8)
     rows = [(f"{rng.randint(1, 250)}.{rng.randint(0, 255)}.0.{i % 256}", 1, rid) for rid, n in ((0, 300), (1, 40), (2, 30), (3, 20)) for i in range(n)]
     planned = [rebalance.Move(0, 1, 150, 0, 0), rebalance.Move(0, 2, 20, 0, 0), rebalance.Move(1, 3, 60, 0, 0), rebalance.Move(0, 3, 5, 0, 0)]
-    monkeypatch.setattr(rebalance, "planned_moves", lambda *a: list(planned))
+    monkeypatch.setattr(rebalance, "planned_moves", lambda *a, **k: list(planned))
     out, moves = rebalance.rebalanced(spark.createDataFrame(rows, "ip string, site_id int, rid int"), 4)
     now = {k: [r[0] for r in rows if r[2] == k] for k in range(4)}
     number = lambda ip: [int(x) for x in ip.split(".")]
