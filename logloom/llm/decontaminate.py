@@ -15,46 +15,77 @@ shift.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import pickle
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowmap import extended
-from .textarrays import ALNUM, blocks, words
+from .runtime import shared_dir, ship, stored
+from .textarrays import ALNUM, BLOCK, blocks, words
 
 #: Window positions that one lane walks over.
 LANE = 256
-_TABLE_BITS = 18
+#: Test strings in one set of tables, which takes some 60 bytes for each, and in one run of an item's words.
+PART_WINDOWS, RUN_WINDOWS = 1 << 19, 1 << 15
+#: Bytes of text that meet all sets of tables in turn, where there are several.
+MANY_PARTS_BLOCK = 16 << 20
 _MUL = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-def _block_index(before: np.ndarray, last: np.ndarray) -> np.ndarray:
-    return ((before * _MUL[0] + last * _MUL[1]) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
-
-
 class Patterns:
-    """Test strings of one length with their shift table and suffix buckets."""
+    """Test strings of one length with their shift table and suffix buckets.
+
+    word: hash of every word of the items' runs; start, end: the words' places
+    in text, where single blanks part them; first: for each test string the
+    number of its first word; items, item_first: the items of each string.
+    """
 
-    def __init__(self, length: int, hashes: np.ndarray, texts: list[bytes], items: list[list[str]]):
+    def __init__(self, length: int, word: np.ndarray, start: np.ndarray, end: np.ndarray, text: bytes, first: np.ndarray, item: np.ndarray):
         self.length, self.span = length, min(2, length)
-        default = length - self.span + 1
-        shift = np.full(1 << _TABLE_BITS, default, np.uint8)
-        for end in range(length - 1, self.span - 2, -1):  # far blocks first, so the least shift stays
-            at = self._index(hashes[:, max(end - 1, 0)], hashes[:, end])
-            np.minimum.at(shift, at, np.uint8(length - 1 - end))
-        bucket = self._index(hashes[:, max(length - 2, 0)], hashes[:, -1])
+        self.word, self.start, self.end, self.text = word, start, end, text
+        code = np.zeros(len(first), np.uint64)
+        for j in range(length):
+            code = (code ^ (code >> np.uint64(29))) * _MUL[0] + word[first + j]
+        order = np.lexsort((item, code))
+        same = np.zeros(len(order), bool)
+        same[1:] = True
+        for j in range(length):  # strings are one if all their words' hashes are equal
+            w = word[first[order] + j]
+            same[1:] &= w[1:] == w[:-1]
+        new = ~same
+        first, of = first[order[new]], np.cumsum(new) - 1
+        owner = item[order]
+        once = new.copy()
+        once[1:] |= owner[1:] != owner[:-1]
+        owner, of = owner[once], of[once]
+        self.bits = int(np.clip(np.ceil(np.log2(8 * len(first))), 18, 22))
+        shift = np.full(1 << self.bits, length - self.span + 1, np.uint8)
+        for at in range(length - 1, self.span - 2, -1):
+            np.minimum.at(shift, self._index(word[first + max(at - 1, 0)], word[first + at]), np.uint8(length - 1 - at))
+        bucket = self._index(word[first + max(length - 2, 0)], word[first + length - 1])
         order = np.argsort(bucket, kind="stable")
-        self.hashes, self.shift = hashes[order], shift
-        self.texts = [texts[i] for i in order]
-        self.bucket_first = np.searchsorted(bucket[order], np.arange((1 << _TABLE_BITS) + 1)).astype(np.int32)
-        self.items = [items[i] for i in order]
+        self.shift, self.first = shift, first[order].astype(np.int32)
+        self.bucket_first = np.searchsorted(bucket[order], np.arange((1 << self.bits) + 1)).astype(np.int32)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        by = np.argsort(place[of], kind="stable")
+        self.items = owner[by].astype(np.int32)
+        self.item_first = np.searchsorted(place[of][by], np.arange(len(order) + 1)).astype(np.int32)
 
     def _index(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
-        return _block_index(before, last) if self.span == 2 else _block_index(last, last)
+        mixed = before * _MUL[0] + last * _MUL[1] if self.span == 2 else last * _MUL[0] + last * _MUL[1]
+        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def items_of(self, which: np.ndarray) -> set[int]:
+        return set(np.concatenate([self.items[self.item_first[q] : self.item_first[q + 1]] for q in which]).tolist())
 
     def search(self, w, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of the last word, test string) of every occurrence."""
@@ -85,98 +116,141 @@ class Patterns:
         where = np.repeat(where, size)
         which = np.arange(len(where)) + np.repeat(self.bucket_first[at] - (np.cumsum(size) - size), size)
         for j in range(self.length):
-            same = w.hash[where - self.length + 1 + j] == self.hashes[which, j]
+            same = w.hash[where - self.length + 1 + j] == self.word[self.first[which] + j]
             where, which = where[same], which[same]
         low = bytes.lower
-        same = [b" ".join(low(data[w.start[k] : w.end[k]].tobytes()) for k in range(p - self.length + 1, p + 1)) == self.texts[q] for p, q in zip(where.tolist(), which.tolist(), strict=True)]
+        begin, stop = self.start[self.first[which]].tolist(), self.end[self.first[which] + self.length - 1].tolist()
+        same = [b" ".join(low(data[w.start[k] : w.end[k]].tobytes()) for k in range(p - self.length + 1, p + 1)) == self.text[x:y] for p, x, y in zip(where.tolist(), begin, stop, strict=True)]
         same = np.array(same, bool)
         return where[same], which[same]
 
 
-def compiled(items: Sequence[tuple[object, str | None]], window: int) -> list[Patterns]:
-    """Tables for all test strings, one set for each length; items that share a string share its entry."""
-    by_length: dict[int, dict[bytes, tuple[np.ndarray, list[str]]]] = {}
-    for key, text in items:
-        data = np.frombuffer((text or "").encode(), np.uint8)
-        w = words(data, np.array([0, len(data)]), ALNUM)
-        if not (n := len(w.hash)):
-            continue
-        size, spelled = min(window, n), [data[a:b].tobytes().lower() for a, b in zip(w.start, w.end, strict=True)]
-        for i in range(n - size + 1):
-            _, owners = by_length.setdefault(size, {}).setdefault(b" ".join(spelled[i : i + size]), (w.hash[i : i + size], []))
-            if key is not None and str(key) not in owners:
-                owners.append(str(key))
-    return [Patterns(size, np.stack([h for h, _ in found.values()]), list(found), [o for _, o in found.values()]) for size, found in sorted(by_length.items())]
+def _cut(window: int):
+    """Runs of an item's words that hold its test strings: length, n (strings), words (hashes), sizes (bytes), text, ids."""
+    schema = "length int, n int, words binary, sizes binary, text binary, ids array<string>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                data = np.frombuffer((batch.column(0)[i].as_py() or "").encode(), np.uint8)
+                w = words(data, np.array([0, len(data)]), ALNUM)
+                if not (n := len(w.hash)):
+                    continue
+                length = min(window, n)
+                for a in range(0, n - length + 1, RUN_WINDOWS):
+                    b = min(n, a + RUN_WINDOWS + length - 1)
+                    text = b" ".join(data[x:y].tobytes().lower() for x, y in zip(w.start[a:b], w.end[a:b], strict=True))
+                    row = [length, b - a - length + 1, w.hash[a:b].tobytes(), (w.end[a:b] - w.start[a:b]).astype(np.int64).tobytes(), text]
+                    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([*(pa.array([x], k) for x, k in zip(row, kinds, strict=True)), pa.array([batch.column(1)[i].as_py()], pa.list_(pa.string()))], names=["length", "n", "words", "sizes", "text", "ids"])
+
+    return run, schema
+
+
+def _tables(runs: pa.Table) -> tuple[list[Patterns], list[list[str]]]:
+    """Patterns for each length of a part's runs, and the ids of each of its items."""
+    out, ids = [], [x or [] for x in runs.column("ids").to_pylist()]
+    length, n = runs.column("length").to_numpy(), runs.column("n").to_numpy()
+    for size in np.unique(length).tolist():
+        rows = np.flatnonzero(length == size)
+        word = [np.frombuffer(runs.column("words")[i].as_py(), np.uint64) for i in rows.tolist()]
+        sizes = np.concatenate([np.frombuffer(runs.column("sizes")[i].as_py(), np.int64) for i in rows.tolist()])
+        end = np.cumsum(sizes + 1) - 1  # a blank after each word, also between runs
+        text = b" ".join(runs.column("text")[i].as_py() for i in rows.tolist())
+        begin = np.cumsum([0, *map(len, word)])[:-1]
+        first = np.concatenate([b + np.arange(k) for b, k in zip(begin.tolist(), n[rows].tolist(), strict=True)])
+        out.append(Patterns(size, np.concatenate(word), end - sizes, end, text, first, np.repeat(rows, n[rows])))
+    return out, ids
+
+
+def compiled(items: DataFrame, window: int = 10, item_id: str = "item_id", item_text: str = "text", part_windows: int = PART_WINDOWS) -> list[str]:
+    """Paths of files in the shared folder with the tables of all test strings, each of about part_windows strings at most.
+
+    Items of one text are one.  Executors cut them into runs of words, deal the
+    runs to parts and build each part's tables; the driver only gets the paths,
+    one for each part.
+    """
+    spark = items.sparkSession
+    ship(spark)
+    folder = shared_dir(spark)
+    texts = items.select(F.col(f"`{item_text}`").alias("t"), F.col(f"`{item_id}`").cast("string").alias("k")).where("t is not null").groupBy("t").agg(F.sort_array(F.collect_set("k")).alias("ids"))
+    run, schema = _cut(window)
+    runs = stored(texts.mapInArrow(run, schema), f"{folder}/runs")
+    parts = -(-(runs.agg(F.sum("n")).first()[0] or 0) // part_windows)
+
+    def build(table: pa.Table) -> pa.Table:
+        store, at = pafs.FileSystem.from_uri(folder)
+        store.create_dir(f"{at}/tables", recursive=True)
+        name = f"tables/{table.column('part')[0].as_py():06d}-{TaskContext.get().taskAttemptId()}"
+        with store.open_output_stream(f"{at}/{name}") as f:
+            f.write(pickle.dumps(_tables(table), protocol=5))
+        return pa.table([pa.array([name])], names=["name"])
+
+    if not parts:
+        return []
+    made = runs.withColumn("part", F.pmod(F.xxhash64("words", "ids"), F.lit(parts)).cast("int")).groupBy("part").applyInArrow(build, "name string")
+    return sorted(f"{folder}/{r.name}" for r in stored(made, f"{folder}/made").collect())
 
 
-def occurrences(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", max_item_bytes: int = 32 << 20) -> DataFrame:
+@lru_cache(1)
+def _loaded(path: str) -> tuple[list[Patterns], list[list[str]]]:
+    """One part's tables at a time in each worker."""
+    store, at = pafs.FileSystem.from_uri(path)
+    with store.open_input_stream(at) as f:
+        return pickle.loads(f.read())
+
+
+_SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+_ARROW_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def occurrences(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", part_windows: int = PART_WINDOWS) -> DataFrame:
     """Adds to docs: n_words, hit_spans (runs of hit words, end exclusive) and hit_items (sorted ids as strings).
 
     Words are maximal runs of ASCII letters and digits and non-ASCII
-    characters, A-Z lower-cased.  The tables travel to the executors as a
-    broadcast of at most ``max_item_bytes`` of item text: the total is measured
-    first, and a larger benchmark is searched in that many parts, one after
-    another over the same rows.  No shuffle takes place, so neither hot sources
-    nor repeated rows matter.
+    characters, A-Z lower-cased.  The test strings' tables lie in files of
+    bounded size, built on executors; a worker holds one of them at a time.
+    Texts pass through once: where a benchmark is so large that there are
+    several files, some megabytes of text meet all of them in turn.  No shuffle
+    of texts takes place, so neither hot sources nor repeated rows matter.
 
     Null or empty text: no words, no hits.  Items without words have no test
     strings; an item with a null id still marks words but is not listed;
-    repeated ids are listed once.
+    repeated ids are listed once.  Empty tables give no rows, or no hits.
+    Columns of docs that bear a new column's name are replaced.
     """
-    spark = docs.sparkSession
-    items = items.select(F.col(item_id).alias("k"), F.col(item_text).alias("t"))
-    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    parts = max(1, -(-size // max_item_bytes))
-    fields = [
-        T.StructField("n_words", T.LongType()),
-        T.StructField("hit_spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
-        T.StructField("hit_items", T.ArrayType(T.StringType())),
-    ]
-    out = docs
-    for part in range(parts):
-        own = items.where(F.pmod(F.xxhash64("k", "t"), F.lit(parts)) == part) if parts > 1 else items
-        tables = spark.sparkContext.broadcast(compiled([(r.k, r.t) for r in own.collect()], window))
-        out = _searched(out, tables, text, fields, merge=part > 0)
-    return out
-
-
-def _searched(docs: DataFrame, tables, text: str, fields: list[T.StructField], merge: bool) -> DataFrame:
-    held = docs
-    if merge:  # earlier parts' results ride along under names of their own
-        held = docs.withColumnsRenamed({"hit_spans": "__spans", "hit_items": "__items"})
+    paths = compiled(items, window, item_id, item_text, part_windows)
+    fields = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(_SPAN)), T.StructField("hit_items", T.ArrayType(T.StringType()))]
 
     def make():
         def run(batch: pa.RecordBatch):
             column = batch.column(batch.schema.get_field_index(text))
             n_words, spans, items = [], [], []
-            for _, _, data, offsets in blocks(column):
+            for _, _, data, offsets in blocks(column, BLOCK if len(paths) < 2 else MANY_PARTS_BLOCK):
                 w = words(data, offsets, ALNUM)
                 n_words.append(w.counts)
                 mine: dict[int, set[str]] = {}
                 edge = np.zeros(len(w.hash) + 1, np.int32)
-                for p in tables.value:
-                    where, which = p.search(w, data)
-                    np.add.at(edge, where - p.length + 1, 1)
-                    np.add.at(edge, where + 1, -1)
-                    owner = np.searchsorted(w.first, where, "right") - 1
-                    for d, q in set(zip(owner.tolist(), which.tolist(), strict=True)):
-                        mine.setdefault(d, set()).update(p.items[q])
+                for path in paths:
+                    tables, ids = _loaded(path)
+                    for p in tables:
+                        where, which = p.search(w, data)
+                        np.add.at(edge, where - p.length + 1, 1)
+                        np.add.at(edge, where + 1, -1)
+                        owner = np.searchsorted(w.first, where, "right") - 1
+                        for d in np.unique(owner).tolist():
+                            mine.setdefault(d, set()).update(x for k in p.items_of(np.unique(which[owner == d])) for x in ids[k])
                 hit = np.cumsum(edge[:-1]) > 0
                 for d in range(len(offsets) - 1):
                     a, b = w.first[d], w.first[d + 1]
                     own = hit[a:b]
                     spans.append(_runs(own) if own.any() else [])
                     items.append(sorted(mine.get(d, ())))
-            if merge:
-                before = batch.column(batch.schema.get_field_index("__spans")).to_pylist()
-                spans = [_joined([(x["start"], x["end"]) for x in a] + b) for a, b in zip(before, spans, strict=True)]
-                items = [sorted({*a, *b}) for a, b in zip(batch.column(batch.schema.get_field_index("__items")).to_pylist(), items, strict=True)]
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            return [pa.array(np.concatenate(n_words), pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], kind), pa.array(items, pa.list_(pa.string()))]
+            return [pa.array(np.concatenate(n_words), pa.int64()), pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], _ARROW_SPANS), pa.array(items, pa.list_(pa.string()))]
 
         return run
 
-    return extended(held, fields, make, ["__spans", "__items"] if merge else [])
+    return extended(docs, fields, make)
 
 
 def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
@@ -184,16 +258,6 @@ def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
 def report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """One row per document: n_words, n_hit, n_items, items_sha256, contaminated."""
     found = occurrences(docs.select("doc_id", "text"), items, **options)
@@ -205,9 +269,11 @@ def report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents without any benchmark words, with the columns they came with."""
-    names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col("text").alias("__text")) if {"n_words", "hit_spans", "hit_items"} & {c.lower() for c in names} else None
-    if packed is None:
-        return occurrences(docs, items).where(F.size("hit_spans") == 0).select(*names)
+    """The documents without any benchmark words, with the columns they came with.
+
+    Documents are rows: null and empty texts stay, repeated rows stay or go
+    together, an empty benchmark keeps all, and an empty table gives one.
+    Columns may bear any names.
+    """
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("text").alias("__text"))
     return occurrences(packed, items, text="__text").where(F.size("hit_spans") == 0).select("__row.*")

@@ -1,4 +1,5 @@
 import hashlib
+import pickle
 import random
 
 from logloom.llm import decontaminate
@@ -48,8 +49,10 @@ def test_matches_brute_force(spark, make_docs, odd_texts, monkeypatch):
     assert sum(w[5] for w in want) > 30
     docs = make_docs(texts)
     assert sorted((tuple(r) for r in decontaminate.report(docs, table).collect()), key=repr) == want
-    # a benchmark beyond the broadcast's bound is searched in parts
-    assert sorted((tuple(r) for r in decontaminate.report(docs, table, max_item_bytes=700).collect()), key=repr) == want
+    # a benchmark beyond one set of tables is searched in parts, and long items in runs
+    monkeypatch.setattr(decontaminate, "RUN_WINDOWS", 7)
+    assert len(decontaminate.compiled(table, part_windows=40)) > 5
+    assert sorted((tuple(r) for r in decontaminate.report(docs, table, part_windows=40).collect()), key=repr) == want
 
 
 def test_clean_keeps_columns_and_clashing_names(spark, make_docs, odd_texts):
@@ -66,3 +69,23 @@ def test_empty_tables(spark, make_docs):
     docs = make_docs(["a b c", None])
     assert [r.contaminated for r in decontaminate.report(docs, none).collect()] == [False, False]
     assert decontaminate.report(docs.limit(0), none).count() == 0
+
+
+def test_tables_are_small(spark):
+    """What a worker holds follows the bound on test strings, not the benchmark; items of one text are one."""
+    rng = random.Random(9)
+    items = spark.createDataFrame([(i, " ".join(str(rng.randrange(10**6)) for _ in range(1000))) for i in range(60)] + [(i, "one text that many of the items share word for word") for i in range(1000, 1900)], "item_id long, text string")
+    paths = decontaminate.compiled(items, part_windows=20_000)
+    assert len(paths) == 3
+    sizes = [len(pickle.dumps(decontaminate._loaded(p))) for p in paths]
+    assert max(sizes) < 40_000 * 60 + (6 << 20)
+    found = decontaminate.report(spark.createDataFrame([(1, "x one text that many of the items share word for word y")], "doc_id long, text string"), items).first()
+    assert (found.n_hit, found.n_items) == (11, 900)
+
+
+def test_clean_of_nothing_and_repeats(spark, make_docs):
+    none = spark.createDataFrame([], "item_id long, text string")
+    item = spark.createDataFrame([(1, "these five words are bad")], "item_id long, text string")
+    docs = make_docs(["these five words are bad", "these five words are bad", None, "", "fine", "fine"], [1, 1, 2, 3, 4, 4]).selectExpr("*", "7 as __row", "8 as __text")
+    assert decontaminate.clean(docs, none).count() == 6 and decontaminate.clean(docs.limit(0), item).count() == 0
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, item).collect()) == [2, 3, 4, 4] and decontaminate.clean(docs, item).schema == docs.schema
