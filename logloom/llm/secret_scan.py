@@ -1,15 +1,20 @@
 """Secret scans by assignment-aware lexing.
 
-Three fixed patterns give the base findings.  Beyond them a small lexer reads
-the assignments of source and configuration text - ``name = "..."``,
-``"name": "..."``, ``name: str = "a" + b``, triple-quoted and YAML block values,
-``NAME=value`` lines, ``--name value``, ``<name>value</name>`` and ``("name",
-"value")`` - into pairs of a name and a literal.  Names assigned literals become constants, later uses of
-them resolve to those literals, and a literal is scored by the most sensitive
-name it reaches and by its own make-up; a private key in PEM is a secret under
-any name.  A literal scored at least
-``THRESHOLD`` is reported where it stands, even if the sensitive name is
-assigned far from it.
+Three fixed patterns give the base findings.  Beyond them a text is first lexed
+into strings, comments and code.  The assignments of source and configuration
+syntax - ``name = "..."``, ``"name": "..."``, ``name: str = "a" + b``,
+triple-quoted and YAML block values, lists, ``NAME=value`` lines, ``--name
+value``, ``<name>value</name>``, ``("name", "value")`` and ``#define name
+"value"`` - become pairs of a name and a literal.  Assignments in code also make
+constants: a name used as a value stands for its last assignment before, or
+where there is none for its first one after, and so on until only literals are
+left.  Those inside strings and comments are read too, as leaks stand there as
+well, but neither make nor use constants.  A literal is scored by the most
+sensitive name that it reaches and by its own make-up; a private key in PEM is a
+secret under any name.  A literal scored at least ``THRESHOLD`` is reported
+where it stands, even if the sensitive name is assigned far from it.
+
+All patterns are linear and without bounds on lengths.
 """
 
 from __future__ import annotations
@@ -19,12 +24,15 @@ import re
 from collections import Counter
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowmap import extended
+from .runtime import ship
 
 #: In the order that breaks ties between findings with one start.
 KINDS = ("assign", "access", "hex", "literal")
@@ -53,8 +61,21 @@ _FLAG = re.compile(r"""(?<!\S)--?([A-Za-z][\w-]{2,}+)[ \t]++(?:"([^"\n]{6,}+)"|'
 _ELEMENT = re.compile(r"<([A-Za-z_][\w.-]*+)>([^<>]{6,}+)</\1>", re.ASCII)
 _PAIR = re.compile(r"""(["'])([A-Za-z_][\w.-]{2,}+)\1[ \t]*+,[ \t]*+(["'])([^"'\n]{6,}+)\3""", re.ASCII)
 
+_DEFINE = re.compile(r"""(?m)^[ \t]*+#[ \t]*+define[ \t]++([A-Za-z_]\w*+)[ \t]++["']([^"'\n]{6,}+)["']""", re.ASCII)
+_LIST = re.compile(r"\[\s*+(?=[\"'])")
+_LIST_NEXT = re.compile(r"\s*+,\s*+(?=[\"'])")
+_ITEM = re.compile(r"[ \t]*+(?:#[^\n]*+)?\r?\n([ \t]*+)-[ \t]++")
+#: Strings and comments; a quote right after a letter or digit opens nothing, unless as r"" or the like.
+_LEX = re.compile(
+    r"""(?<!\w)[rbuf]{0,2}(?:\"{3}(?:[^"\\]++|\\[\s\S]|"(?!""))*+\"{3}|'{3}(?:[^'\\]++|\\[\s\S]|'(?!''))*+'{3}|"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+')"""
+    r"""|(?<![`\w])`(?!`)(?:[^`\\]++|\\.)*+`|(?<![^\s])\#[^\n]*+|(?<![:\w"'])//[^\n]*+|/\*(?:[^*]++|\*(?!/))*+\*/|<!--(?:[^-]++|-(?!->))*+-->""",
+    re.ASCII,
+)
+#: What every name that counts has in it; without one no literal scores, but for private keys.
+_STEMS = "pass|pwd|secret|token|key|credential|bearer|conn|auth|pin|salt|signature|session|cookie|dsn|cert"
+
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", re.ASCII)
-_STRONG = re.compile(r"(?:^|_)(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api_?key|(?:access|private|secret|signing|encryption|master|auth|account)_key|credentials?|bearer|conn(?:ection)?_str(?:ing)?)(?:_|$)", re.ASCII)
+_STRONG = re.compile(r"(?:^|_)(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api_?key|(?:access|private|secret|signing|encryption|master|auth|account)_key|credential|bearer|conn(?:ection)?_str(?:ing)?)s?(?:_|$)", re.ASCII)
 _WEAK = re.compile(r"(?:^|_)(?:key|auth|authorization|pin|salt|signature|session|cookie|dsn|cert)(?:_|$)", re.ASCII)
 _HARMLESS = re.compile(r"(?:^|_)public_|_(?:id|name|file|path|url|uri|type|length|size|count|field|header|label|hint|policy|regex|ttl|expiry|version)$", re.ASCII)
 _ENDS = r"<.*>|\$\{.*\}|\{\{.*\}\}|%.*%|\$\(.*\)|x+|\*+|\.+|-+|0+|(?:your|my|the|an?)[_ -].*"
@@ -208,8 +229,10 @@ def _target(text: str, back: str, op: re.Match) -> str | None:
     at = len(text) - op.start()
     if op[0] == "=" and (m := _TYPED.match(back, at)):
         name = m[1][::-1]
-        if f := _FIRST.search(name):
-            return name[f.start() :]
+        if f := _FIRST.search(name):  # name: type = value, unless "type" is the more telling name
+            name, own = name[f.start() :], _TARGET.match(back, at)
+            kind = own[2][::-1] if own else ""
+            return kind if name_weight(kind) > name_weight(name) else name
     if not (m := _TARGET.match(back, at)):
         return None
     name = m[2][::-1]
@@ -219,21 +242,43 @@ def _target(text: str, back: str, op: re.Match) -> str | None:
     return name[f.start() :] if f else None
 
 
-def _values(text: str) -> list[tuple[str, list[tuple[int, int] | int]]]:
-    """(target name, what its value is made of) in the order of the text: (start, end) of a literal, or the number of an earlier value."""
-    out: list[tuple[str, list[tuple[int, int] | int]]] = []
+def _regions(text: str) -> tuple[list[int], list[int]]:
+    """Begins and ends of strings and comments, in order."""
+    begin, end = [], []
+    for m in _LEX.finditer(text):
+        begin.append(m.start())
+        end.append(m.end())
+    return begin, end
+
+
+#: A part of a value: the place of a literal, the number of another value, or a name with the literal that it is if nothing defines it.
+Part = tuple[int, int] | int | tuple[str, tuple[int, int] | None]
+
+
+def _values(text: str) -> list[tuple[str, list[Part]]]:
+    """(target name, what its value is made of) in the order of the text; all names are resolved to numbers of values."""
+    out: list[tuple[str, list[Part]]] = []
     constants: dict[str, int] = {}
+    first_of: dict[str, int | None] = {}  # the first assignment of each name, None if that is no constant
     back = text[::-1]
+    begins, ends = _regions(text)
+    region = 0
     bare = (0, 0, -1)  # begin, end and last digit of the run of bare characters met last, read once for all places in it
     for op in _OPERATOR.finditer(text):
         at = op.end()
         if text.startswith("//", at):
             continue
+        while region < len(begins) and ends[region] <= op.start():
+            region += 1
+        code = region == len(begins) or op.start() < begins[region]
         if not (name := _target(text, back, op)):
             continue
         while at < len(text) and text[at] in " \t":
             at += 1
-        parts: list[tuple[int, int] | int] = []
+        if m := _LIST.match(text, at):
+            out += [(name, [p]) for p in _listed(text, m.end())]
+            continue
+        parts: list[Part] = []
         whole = True
         while True:
             if q := _TRIPLE.match(text, at):
@@ -242,7 +287,7 @@ def _values(text: str) -> list[tuple[str, list[tuple[int, int] | int]]]:
             elif q := _QUOTED.match(text, at):
                 parts.append(q.span(q.lastindex))
                 at = q.end()
-            elif (i := _NAME.match(text, at)) and i[0] in constants:
+            elif code and (i := _NAME.match(text, at)) and i[0] in constants:
                 parts.append(constants[i[0]])
                 at = i.end()
             else:
@@ -253,11 +298,30 @@ def _values(text: str) -> list[tuple[str, list[tuple[int, int] | int]]]:
                     if op[0] == ":" and (k := _BLOCK.match(text, at)):
                         parts.append(_block(text, op.start(), k.end()))
                         break
+                    if op[0] == ":" and (items := _items(text, op.start(), at)):
+                        out += [(name, [p]) for p in items]
+                        whole = False
+                        break
                     if not bare[0] <= at < bare[1]:
                         bare = _bare(text, at)
-                    if bare[2] >= at and bare[1] - at >= 6:
-                        parts.append((at, bare[1]))
+                    plain = (at, bare[1]) if bare[2] >= at and bare[1] - at >= 6 else None
+                    if code and i and i[0] not in first_of and (_BARE_END.match(text, i.end()) or _JOIN.match(text, i.end())):
+                        parts.append((i[0], plain if plain and i.end() == plain[1] else None))
+                        at = i.end()
+                        if j := _JOIN.match(text, at):
+                            at = j.end()
+                            continue
+                        break
+                    if plain:
+                        parts.append(plain)
                         break
+                elif code and i and i[0] not in first_of and not text.startswith(("(", "["), i.end()):
+                    parts.append((i[0], None))
+                    at = i.end()
+                    if j := _JOIN.match(text, at):
+                        at = j.end()
+                        continue
+                    break
                 whole = False
                 break
             if not (j := _JOIN.match(text, at)):
@@ -265,22 +329,89 @@ def _values(text: str) -> list[tuple[str, list[tuple[int, int] | int]]]:
             at = j.end()
         if parts:
             out.append((name, parts))
+        if not code:
+            continue
         if whole and parts:
             constants[name] = len(out) - 1
         else:
             constants.pop(name, None)
-    for pattern, name in ((_FLAG, 1), (_ELEMENT, 1), (_PAIR, 2)):
+        first_of.setdefault(name, constants.get(name))
+    for i, (_, parts) in enumerate(out):
+        for k, p in enumerate(parts):
+            if isinstance(p, tuple) and isinstance(p[0], str):  # a name without an assignment before it
+                later = first_of.get(p[0])
+                parts[k] = p[1] if later is None or later == i else later
+        parts[:] = [p for p in parts if p is not None]
+    for pattern, name in ((_FLAG, 1), (_ELEMENT, 1), (_PAIR, 2), (_DEFINE, 1)):
         out += [(m[name], [_trimmed(text, *m.span(m.lastindex))]) for m in pattern.finditer(text)]
     return out
 
 
+def _listed(text: str, at: int) -> list[tuple[int, int]]:
+    """The quoted strings of a list in brackets."""
+    out = []
+    while q := _QUOTED.match(text, at):
+        out.append(q.span(q.lastindex))
+        if not (j := _LIST_NEXT.match(text, q.end())):
+            break
+        at = j.end()
+    return out
+
+
+def _items(text: str, key: int, at: int) -> list[tuple[int, int]]:
+    """The plain and quoted items of a YAML list that begins on the line after its key."""
+    line = text.rfind("\n", 0, key) + 1
+    indent = _KEY_INDENT.match(text, line).end() - line
+    out = []
+    while (m := _ITEM.match(text, at)) and len(m[1]) >= indent:
+        at = m.end()
+        if q := _QUOTED.match(text, at):
+            span, at = q.span(q.lastindex), q.end()
+        else:
+            span = at, _BARE.match(text, at).end()
+            at = span[1]
+        if not _BARE_END.match(text, at):  # an item of more than a value
+            break
+        out.append(span)
+    return out
+
+
+def _order(values: list[tuple[str, list[Part]]]) -> list[int]:
+    """Numbers of all values, those that a value is made of before it; a value that would be made of itself loses that part."""
+    state, out = bytearray(len(values)), []
+    for i in range(len(values)):
+        stack = [(i, 0)]
+        while stack:
+            k, at = stack.pop()
+            parts = values[k][1]
+            if at == 0:
+                if state[k]:
+                    continue
+                state[k] = 1
+            while at < len(parts):
+                p = parts[at]
+                if isinstance(p, int):
+                    if state[p] == 1:
+                        del parts[at]
+                        continue
+                    if not state[p]:
+                        stack += [(k, at + 1), (p, 0)]
+                        break
+                at += 1
+            else:
+                state[k] = 2
+                out.append(k)
+    return out
+
+
 def _literals(text: str) -> dict[tuple[int, int], tuple[float, str]]:
     """Score and name of each literal that reaches a name under which it is a secret."""
     values = _values(text)
+    order = _order(values)
     pem = "-----BEGIN" in text and "PRIVATE KEY" in text
     weights = [name_weight(name) for name, _ in values]
     uses = [int(pem or w > 0) for w in weights]
-    for i in range(len(values) - 1, -1, -1):
+    for i in reversed(order):
         if uses[i]:
             for p in values[i][1]:
                 if isinstance(p, int):
@@ -288,7 +419,8 @@ def _literals(text: str) -> dict[tuple[int, int], tuple[float, str]]:
     makes = _makes(text, {p for (_, parts), n in zip(values, uses, strict=True) if n for p in parts if not isinstance(p, int)})
     known: dict[int, Make] = {}
     reached: dict[int, tuple[float, str]] = {}
-    for i, (name, parts) in enumerate(values):
+    for i in order:
+        name, parts = values[i]
         if not uses[i]:
             continue
         known[i] = Make.joined([known[p] if isinstance(p, int) else makes[p] for p in parts])
@@ -302,7 +434,7 @@ def _literals(text: str) -> dict[tuple[int, int], tuple[float, str]]:
                 if not uses[p]:
                     known.pop(p, None)
     best: dict[tuple[int, int], tuple[float, str]] = {}
-    for i in range(len(values) - 1, -1, -1):
+    for i in reversed(order):
         if i in reached:
             for p in values[i][1]:
                 if isinstance(p, int):
@@ -317,11 +449,22 @@ def findings(text: str | None) -> list[tuple[str, int, int, int, str, float]]:
     if not text:
         return []
     found = _base(text)
-    if "=" in text or ":" in text or "--" in text or "</" in text or "," in text:
+    if _NAMED.search(text):
         found += [("literal", a, b, a, name, score) for (a, b), (score, name) in _literals(text).items()]
     return sorted(found, key=lambda f: (f[1], KINDS.index(f[0]), f[2]))
 
 
+_NAMED = re.compile(_STEMS + "|PRIVATE KEY", re.IGNORECASE | re.ASCII)
+
+
+def _to_read(column: pa.Array) -> list[int]:
+    """Rows whose text may hold a finding, told by Arrow: only they become Python strings."""
+    column = column.cast(pa.large_string())
+    named = pc.and_(pc.match_substring_regex(column, rf"(?i:{_STEMS})|PRIVATE KEY"), pc.match_substring_regex(column, r"[=:,#<]|-[A-Za-z]"))
+    other = pc.match_substring_regex(column, r"AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
+    return np.flatnonzero(pc.fill_null(pc.or_(named, other), False).to_numpy(zero_copy_only=False)).tolist()
+
+
 _FINDING = T.StructType([T.StructField(n, k) for n, k in (("kind", T.StringType()), ("start", T.IntegerType()), ("end", T.IntegerType()), ("secret_start", T.IntegerType()), ("name", T.StringType()), ("score", T.DoubleType()))])
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("secret_start", pa.int32()), ("name", pa.string()), ("score", pa.float64())]))
 
@@ -338,7 +481,10 @@ def secrets(docs: DataFrame, text: str = "text") -> DataFrame:
 
         def run(batch):
             column = batch.column(batch.schema.get_field_index(text))
-            return [pa.array([[dict(zip(names, f, strict=True)) for f in findings(t.as_py())] for t in column], _ARROW)]
+            out: list[list[dict]] = [[]] * len(column)
+            for i in _to_read(column):
+                out[i] = [dict(zip(names, f, strict=True)) for f in findings(column[i].as_py())]
+            return [pa.array(out, _ARROW)]
 
         return run
 
@@ -348,31 +494,47 @@ def secrets(docs: DataFrame, text: str = "text") -> DataFrame:
 def redacted(docs: DataFrame, text: str = "text", mark: str = "<secret>") -> DataFrame:
     """The same rows and columns, with every secret in the text replaced by a mark; n_chars, if there, follows.
 
-    Overlapping secrets become one mark; a null text stays null.
+    Overlapping secrets become one mark; a null text stays null.  Other columns
+    may bear any names; an empty table gives one.
     """
-
-    def make():
-        def run(batch):
-            out = []
-            for t in batch.column(batch.schema.get_field_index("__text")):
-                value = t.as_py()
-                done, at = [], 0
+    spark = docs.sparkSession
+    ship(spark)
+    at = docs.columns.index(text)
+    like = docs.schema
+    n_chars = next((i for i, f in enumerate(like) if f.name == "n_chars"), None)
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(at)
+            out: dict[int, str] = {}
+            for i in _to_read(column):
+                value = column[i].as_py()
+                done, end = [], 0
                 for a, b in sorted((f[3], f[2]) for f in findings(value)):
-                    if b <= at:
+                    if b <= end:
                         continue
-                    if a >= at:
-                        done += [value[at:a], mark] if a > at or not done else []
-                    at = b
-                out.append("".join([*done, value[at:]]) if done else value)
-            return [pa.array(out, pa.string())]
-
-        return run
-
-    order = docs.columns
-    found = extended(docs.withColumnRenamed(text, "__text"), [T.StructField(text, T.StringType())], make, ["__text"])
-    if "n_chars" in order:
-        found = found.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length(text).cast(docs.schema["n_chars"].dataType)))
-    return found.select(*[F.col(f"`{c}`") for c in order])
+                    if a >= end:
+                        done += [value[end:a], mark] if a > end or not done else []
+                    end = b
+                if done:
+                    out[i] = "".join([*done, value[end:]])
+            columns = list(batch.columns)
+            if out:
+                columns[at] = _replaced(column, out)
+                if n_chars is not None:
+                    old = columns[n_chars]
+                    columns[n_chars] = _replaced(old, {i: len(t) for i, t in out.items() if old[i].is_valid})
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+    return docs.mapInArrow(run, like)
+
+
+def _replaced(column: pa.Array, new: dict[int, object]) -> pa.Array:
+    """The column with some of its values replaced."""
+    mask = np.zeros(len(column), bool)
+    rows = sorted(new)
+    mask[rows] = True
+    return pc.replace_with_mask(column, pa.array(mask), pa.array([new[i] for i in rows], column.type))
 
 
 def report(docs: DataFrame) -> DataFrame:
