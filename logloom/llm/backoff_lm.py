@@ -11,6 +11,11 @@ So what moves is one block per page and partition rather than one row per
 n-gram: 8 bytes of hash shrink to five or six by differences, an n-gram that
 fills the corpus is one entry of each page, and no count table has to fit into
 one place.
+
+Pages and partitions both grow with the corpus, so beyond MAX_PARTS partitions
+blocks would hold but a few n-grams each and be as many as the square of the
+corpus.  Then each distinct n-gram of a page is a row: count tables are an
+aggregation by hash, and a join by hash gives the pages their totals.
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ from .textarrays import SPACED, blocks, mix, words
 ORDER, BACKOFF = 3, 0.4
 #: Words of a page, and n-grams that a partition of a count table gets on average.
 PAGE_WORDS, PARTITION_GRAMS = 1 << 20, 1 << 20
+#: Partitions of a count table up to which pages send blocks, a few hundred n-grams at least; beyond, rows.
+MAX_PARTS = 4096
 #: Count of a word that occurs nowhere else.
 UNSEEN = 0.5
 
@@ -129,7 +136,23 @@ def _totals(pages: DataFrame, n: int, parts: int) -> DataFrame:
     return sent.groupBy("part").applyInArrow(add, "page long, part int, counts binary")
 
 
-def scored(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, doc_id: str = "doc_id", text: str = "text", page_words: int = PAGE_WORDS, partition_grams: int = PARTITION_GRAMS) -> DataFrame:
+def _row_totals(pages: DataFrame, n: int) -> DataFrame:
+    """Corpus-wide counts of each page's distinct n-grams: page, n, g (the hash with its sign turned, so that it sorts as unsigned), total."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            g, count = np.unique(_grams(*_read(row), n)[0], return_counts=True)
+            g = (g ^ np.uint64(1 << 63)).view(np.int64)
+            for a in range(0, len(g), 1 << 16):
+                part = g[a : a + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), row["page"])), pa.array(count[a : a + (1 << 16)])], names=["g", "page", "c"])
+
+    sent = pages.select("page", "n_words", "vocabulary", "codes").mapInArrow(send, "g long, page long, c long")
+    totals = sent.groupBy("g").agg(F.sum("c").alias("total"))
+    return sent.select("g", "page").join(totals, "g").select("page", F.lit(n).alias("n"), "g", "total")
+
+
+def scored(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, doc_id: str = "doc_id", text: str = "text", page_words: int = PAGE_WORDS, partition_grams: int = PARTITION_GRAMS, max_parts: int = MAX_PARTS) -> DataFrame:
     """One row per document: doc_id, n_words, n_backoff (words scored below the highest order their place allows), log_score.
 
     log_score is the sum over the words of the natural logarithm of their
@@ -150,28 +173,46 @@ def scored(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, doc_id
     pages = stored(_pages(source, page_words), f"{folder}/pages")
     n_all = pages.agg(F.sum(F.aggregate("n_words", F.lit(0).cast("long"), lambda a, b: a + b))).first()[0] or 0
     parts = max(1, -(-n_all // partition_grams))
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_backoff", T.LongType()), T.StructField("log_score", T.DoubleType())])
+
     answers = None
+    if parts > max_parts:
+        for n in range(1, order + 1):
+            own = _row_totals(pages, n)
+            answers = own if answers is None else answers.unionByName(own)
+
+        def join(page: pa.Table, totals: pa.Table) -> pa.Table:
+            row = page.to_pylist()[0]
+            n, g, total = (totals.column(c).to_numpy() for c in ("n", "g", "total"))
+            by = {}
+            for k in range(1, order + 1):
+                own = np.flatnonzero(n == k)
+                by[k] = total[own[np.argsort(g[own], kind="stable")]].astype(np.int64)
+            return pa.Table.from_batches([_page_scores(row, by, n_all, order, backoff)])
+
+        return pages.groupBy("page").cogroup(stored(answers, f"{folder}/totals").groupBy("page")).applyInArrow(join, schema)
     for n in range(1, order + 1):
         own = stored(_totals(pages, n, parts), f"{folder}/totals-{n}").withColumn("n", F.lit(n))
         answers = own if answers is None else answers.unionByName(own)
         released(spark)
-    answers = answers.groupBy("page").agg(F.collect_list(F.struct("n", "part", "counts")).alias("totals"))
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_backoff", T.LongType()), T.StructField("log_score", T.DoubleType())])
+    answers = answers.groupBy("page").agg(F.collect_list(F.struct("n", "part", "counts")).alias("totals"))  # at most max_parts for each order
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            yield _page_scores(row, n_all, order, backoff)
+            blocks_of = {n: sorted((t for t in row["totals"] or () if t["n"] == n), key=lambda t: t["part"]) for n in range(1, order + 1)}
+            yield _page_scores(row, {n: np.concatenate([_spread(x["counts"]) for x in ts] or [np.empty(0, np.uint64)]).astype(np.int64) for n, ts in blocks_of.items()}, n_all, order, backoff)
 
     return pages.join(answers, "page", "left").mapInArrow(score, schema)
 
 
-def _page_scores(row: dict, n_all: int, order: int, backoff: float) -> pa.RecordBatch:
+def _page_scores(row: dict, totals: dict[int, np.ndarray], n_all: int, order: int, backoff: float) -> pa.RecordBatch:
+    """Scores of a page's documents; totals: for each order the counts of the page's distinct n-grams in ascending order of hash."""
     h, doc = _read(row)
     sizes = np.array(row["n_words"], np.int64)
     rest = {}  # for each order the count over other documents of the n-gram that ends at each word; -1 where none does
     for n in range(1, order + 1):
         g, at = _grams(h, doc, n)
-        total = np.concatenate([_spread(x["counts"]) for x in sorted((t for t in row["totals"] or () if t["n"] == n), key=lambda t: t["part"])] or [np.empty(0, np.uint64)]).astype(np.int64)
+        total = totals[n]
         _, code = np.unique(g, return_inverse=True)
         _, same, own = np.unique(doc[at] * max(1, len(total)) + code, return_inverse=True, return_counts=True)
         rest[n] = np.full(len(h), -1, np.int64)

@@ -495,7 +495,6 @@ def _grouped(source: DataFrame, shingle: int, block: int, hot: int) -> DataFrame
         edges = edges.unionByName(pivoted.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
     edges = stored(edges, f"{folder}/edges")
     dropped(spark, *(f"{folder}/{x}" for x in ("tiles", "members", "wanted", "large", "pivot-wanted", "pivoted")))
-    released(spark)
     known = nodes.select("node", "lo").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = known.groupBy("root").agg(F.min("lo").alias("component_id"))
     known = known.join(least, "root").select("node", "root", "component_id")

@@ -6,7 +6,9 @@ If y, in the cell of p, lies within r of x, in the cell of q, the triangle
 inequality gives d(x, p) <= d(x, q) + 2r, and as the distance is Euclidean x
 also lies within r of the plane half-way between p and q.  So x is copied to
 just those cells p, and to the later one of two cells only, so that each pair
-meets in exactly one cell; cells then join on their own, block by block.
+meets in exactly one cell.  A cell that is still large is dealt anew by pivots
+of its own, as long as that leaves few copies; two vectors that are guests of
+one cell met at home.  Cells then join on their own, block by block.
 
 Equal vectors are one node with a multiplicity, so a vector that a third of the
 rows share costs as much as any other.
@@ -24,14 +26,16 @@ from pyspark.sql import types as T
 
 from .forest import block_tasks, united
 from .graph import components
-from .runtime import shared_dir, ship, stored
+from .runtime import dropped, shared_dir, ship, stored
 
 #: Vectors that a cell should hold; a label of fewer is one cell.
 CELL = 2000
-#: Most pivots of a label, and most components of all pivots together (4 MB).
-MAX_PIVOTS, ALL_COMPONENTS = 64, 1 << 19
-#: Vectors that a task takes of one block; larger cells are split.
-BLOCK = 4096
+#: Most pivots of a cell and most components of all pivots of a level (8 MB); levels of cells.
+MAX_PIVOTS, ALL_COMPONENTS, LEVELS = 64, 1 << 20, 4
+#: Most cells that a vector may visit on average at one level; with more, fewer pivots are taken.
+COPIES = 4.0
+#: Components that a task takes of one block, and the block's vectors at most; larger cells are split.
+BLOCK_COMPONENTS, BLOCK = 1 << 21, 1 << 15
 _KEYS = ["label", "dim", "cell"]
 
 
@@ -45,35 +49,40 @@ def _farthest(sample: np.ndarray, k: int) -> np.ndarray:
     return sample[chosen]
 
 
-def _pivots(nodes: DataFrame, cell: int) -> dict[tuple[str, int], np.ndarray]:
-    """Pivots of each label that needs more than one cell.
+def _pivots(rows: DataFrame, cell: int, r: float, total: int) -> dict[tuple[str, int, int], np.ndarray]:
+    """Pivots of each cell that is too large and can be split.
 
     They come from a sample by hash, which only steers the work: any pivots give
-    the same pairs.  Sizes are kept in check here: labels count as large beyond
-    N / 100,000 vectors, so at most 100,000 rows of counts come to the driver,
-    and pivots are dealt out within ALL_COMPONENTS, with a sample of four times
-    as many.  A label that gets fewer than two is one cell, split into blocks.
+    the same pairs.  So does the sample's judgement of how many cells a vector
+    would visit: pivots are halved until it is COPIES at most, and a cell left
+    with one stays whole.  Sizes are kept in check here: cells count as large
+    beyond N / 100,000 vectors, so at most 100,000 rows of counts come to the
+    driver for each level, and pivots are dealt out within ALL_COMPONENTS, with
+    a sample of four times as many.
     """
-    total = nodes.count()
-    large = max(cell, total // 100_000)
-    counts = nodes.groupBy("label", "dim").count().where(F.col("count") > large).collect()
-    wanted = {(r.label, r.dim): min(MAX_PIVOTS, -(-r["count"] // cell)) for r in counts}
-    share = min(1.0, ALL_COMPONENTS / max(1, sum(n * dim for (_, dim), n in wanted.items())))
+    large = max(2 * cell, total // 100_000)
+    counts = rows.groupBy(*_KEYS).count().where(F.col("count") > large).collect()
+    wanted = {(c.label, c.dim, c.cell): min(MAX_PIVOTS, -(-c["count"] // cell)) for c in counts}
+    share = min(1.0, ALL_COMPONENTS / max(1, sum(n * key[1] for key, n in wanted.items())))
     wanted = {k: int(v * share) for k, v in wanted.items()}
-    rates = [(r.label, r.dim, min(1.0, 4 * wanted[r.label, r.dim] / r["count"])) for r in counts if wanted[r.label, r.dim] > 1]
+    rates = [(*key, min(1.0, 4 * wanted[key] / c["count"])) for c in counts if wanted[key := (c.label, c.dim, c.cell)] > 1]
     if not rates:
         return {}
-    rate = nodes.sparkSession.createDataFrame(rates, "label string, dim int, rate double")
-    sample: dict[tuple[str, int], list] = {}
-    drawn = nodes.join(F.broadcast(rate), ["label", "dim"]).where(F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(1 << 40)) < F.col("rate") * float(1 << 40))
-    for r in drawn.select("label", "dim", "node", "vec").orderBy("label", "dim", "node").collect():
-        sample.setdefault((r.label, r.dim), []).append(r.vec)
+    rate = rows.sparkSession.createDataFrame(rates, "label string, dim int, cell long, rate double")
+    drawn = rows.where("mask = 0 or home").join(F.broadcast(rate), _KEYS).where(F.pmod(F.xxhash64(F.lit(1), "node"), F.lit(1 << 40)) < F.col("rate") * float(1 << 40))
+    found = drawn.select(*_KEYS, "node", "vec").orderBy(*_KEYS, "node").toArrow()
+    names = list(zip(*(found.column(c).to_pylist() for c in _KEYS), strict=True))
     out = {}
-    for key, vectors in sample.items():
-        x = np.array(vectors, np.float64)
-        p = _farthest(x / np.linalg.norm(x, axis=1)[:, None], wanted[key])
-        if len(p) > 1:
-            out[key] = p
+    for key in sorted(set(names)):
+        x = _matrix(found.column("vec").take(pa.array([i for i, n in enumerate(names) if n == key])), key[1])
+        unit = x / np.linalg.norm(x, axis=1)[:, None]
+        k = wanted[key]
+        while k > 1:
+            p = _farthest(unit, k)
+            if len(p) > 1 and len(_reached(x, p, r)[0]) <= COPIES * len(x):
+                out[key] = p
+                break
+            k = min(k, len(p)) // 2
     return out
 
 
@@ -99,61 +108,83 @@ def _reached(x: np.ndarray, pivots: np.ndarray, r: float) -> tuple[np.ndarray, n
     return row, cell, cell == own[row]
 
 
-def links(nodes: DataFrame, threshold: float, cell: int = CELL, block: int = BLOCK) -> DataFrame:
-    """For every node with a link: node, links (weighted by m), root (least node it reaches in its task); several rows a node.
+def _dealt(rows: DataFrame, pivots: dict, r: float, level: int) -> DataFrame:
+    """The rows of split cells, in the cells of their pivots, and all others as they are.
 
-    nodes: node long, label string, dim int, m long, vec array.
+    home says whether the row is at home in its cell at this level, and bit
+    ``level`` of mask that it isn't.
     """
-    spark = nodes.sparkSession
-    ship(spark)
-    r = math.sqrt(max(0.0, 2 - 2 * threshold))
-    pivots = spark.sparkContext.broadcast(_pivots(nodes, cell))
-    vec = nodes.schema["vec"]
-    schema = T.StructType([T.StructField("label", T.StringType()), T.StructField("dim", T.IntegerType()), T.StructField("cell", T.IntegerType()), T.StructField("home", T.BooleanType()), T.StructField("node", T.LongType()), T.StructField("m", T.LongType()), vec])
+    sent = rows.sparkSession.sparkContext.broadcast(pivots)
+    schema = rows.schema
+    names = schema.names
+    at = {n: names.index(n) for n in names}
 
-    def assign(batches):
+    def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            label, dim = np.array(batch.column(1).to_pylist(), object), batch.column(2).to_numpy()
-            rows, cells, homes = [], [], []
-            for key in sorted(set(zip(label.tolist(), dim.tolist(), strict=True))):
-                mine = np.flatnonzero((label == key[0]) & (dim == key[1]))
-                if (p := pivots.value.get(key)) is None:
-                    rows.append(mine), cells.append(np.zeros(len(mine), np.int64)), homes.append(np.ones(len(mine), bool))
+            label, dim, cell, mask = (np.array(batch.column(at["label"]).to_pylist(), object), *(batch.column(at[c]).to_numpy() for c in ("dim", "cell", "mask")))
+            keys = list(zip(label.tolist(), dim.tolist(), cell.tolist(), strict=True))
+            rows_, cells, homes = [], [], []
+            code = {k: i for i, k in enumerate(sorted(set(keys)))}
+            own = np.array([code[k] for k in keys])
+            for key, i in code.items():
+                mine = np.flatnonzero(own == i)
+                if (p := sent.value.get(key)) is None:
+                    rows_.append(mine), cells.append(cell[mine]), homes.append(mask[mine] & (1 << level) == 0)
                     continue
                 for a in range(0, len(mine), 4096):
-                    row, to, own = _reached(_matrix(batch.column(4).take(pa.array(mine[a : a + 4096])), key[1]), p, r)
-                    rows.append(mine[a : a + 4096][row]), cells.append(to), homes.append(own)
-            take = pa.array(np.concatenate(rows))
+                    row, to, home = _reached(_matrix(batch.column(at["vec"]).take(pa.array(mine[a : a + 4096])), key[1]), p, r)
+                    rows_.append(mine[a : a + 4096][row]), cells.append(key[2] * (MAX_PIVOTS + 1) + to + 1), homes.append(home)
+            take, cells, homes = np.concatenate(rows_), np.concatenate(cells), np.concatenate(homes)
+            masks = mask[take] | np.where(homes, 0, 1 << level)
             for a in range(0, len(take), 10_000):
-                part, s = take.slice(a, 10_000), slice(a, a + 10_000)
-                yield pa.RecordBatch.from_arrays([batch.column(1).take(part), batch.column(2).take(part), pa.array(np.concatenate(cells)[s], pa.int32()), pa.array(np.concatenate(homes)[s]), batch.column(0).take(part), batch.column(3).take(part), batch.column(4).take(part)], names=schema.names)
+                part, s = pa.array(take[a : a + 10_000]), slice(a, a + 10_000)
+                new = {"cell": pa.array(cells[s].astype(np.int64)), "home": pa.array(homes[s]), "mask": pa.array(masks[s].astype(np.int32))}
+                yield pa.RecordBatch.from_arrays([new.get(n, batch.column(at[n]).take(part)) if n in new else batch.column(at[n]).take(part) for n in names], names=names)
+
+    return rows.mapInArrow(run, schema)
+
 
-    dealt = nodes.select("node", "label", "dim", "m", "vec").mapInArrow(assign, schema)
-    sizes = dealt.groupBy(*_KEYS).agg(F.count_if("home").alias("n"), F.count_if(~F.col("home")).alias("g"))
-    sizes = sizes.select(*_KEYS, F.greatest(F.ceil(F.col("n") / block), F.lit(1)).alias("nb"), F.ceil(F.col("g") / block).alias("gb"))
-    # a home row of block b meets all home blocks and all guest blocks; a guest row meets all home blocks
+def links(nodes: DataFrame, threshold: float, folder: str, cell: int = CELL, block: int = BLOCK) -> DataFrame:
+    """For every node with a link: node, links (weighted by m), root (least node it reaches in its task); several rows a node.
+
+    nodes: node long, label string, dim int, m long, vec array; folder: where what the levels write goes.
+    """
+    spark = nodes.sparkSession
+    ship(spark)
+    r = math.sqrt(max(0.0, 2 - 2 * threshold))
+    total = nodes.count()
+    rows = nodes.select("label", "dim", F.lit(0).cast("long").alias("cell"), F.lit(True).alias("home"), F.lit(0).alias("mask"), "node", "m", "vec")
+    for level in range(LEVELS):
+        pivots = _pivots(rows, cell, r, total)
+        if not pivots:
+            break
+        rows = stored(_dealt(rows, pivots, r, level), f"{folder}/cells-{level}")
+        dropped(spark, f"{folder}/cells-{level - 1}")
+    # a cell's rows without a mark are at home in it at every level; two rows with a mark in common met elsewhere
+    home, most = F.col("mask") == 0, F.greatest(F.least(F.lit(block), (F.lit(BLOCK_COMPONENTS) / F.col("dim")).cast("int")), F.lit(1))
+    sizes = rows.groupBy(*_KEYS).agg(F.count_if(home).alias("n"), F.count_if(~home).alias("g"))
+    sizes = sizes.select(*_KEYS, F.ceil(F.col("n") / most).alias("nb"), F.ceil(F.col("g") / most).alias("gb"))
     spread = F.xxhash64(F.lit(2), "node")
-    home = block_tasks(F.col("nb") + F.col("gb"), F.pmod(spread, "nb").cast("int"))
-    guest = F.transform(F.sequence(F.lit(0), F.col("nb").cast("int") - 1), lambda o: F.struct(o.alias("bi"), (F.col("nb") + F.pmod(spread, F.greatest("gb", F.lit(1)))).cast("int").alias("bj")))
-    tasks = dealt.join(sizes, _KEYS).where("home or nb > 0").withColumn("task", F.explode(F.when(F.col("home"), home).otherwise(guest)))
-    own = F.when(F.col("home"), F.pmod(spread, "nb")).otherwise(F.col("nb") + F.pmod(spread, F.greatest("gb", F.lit(1)))).cast("int")
-    tasks = tasks.select(*_KEYS, "task.bi", "task.bj", own.alias("b"), "node", "m", "vec")
+    own = F.when(home, F.pmod(spread, F.greatest("nb", F.lit(1)))).otherwise(F.col("nb") + F.pmod(spread, F.greatest("gb", F.lit(1)))).cast("int")
+    tasks = rows.join(sizes, _KEYS).withColumn("b", own).withColumn("task", F.explode(block_tasks(F.col("nb") + F.col("gb"), F.col("b"))))
+    tasks = tasks.select(*_KEYS, "task.bi", "task.bj", "b", "mask", "node", "m", "vec")
     out = T.StructType([T.StructField("node", T.LongType()), T.StructField("links", T.LongType()), T.StructField("root", T.LongType())])
 
     def join(table: pa.Table) -> pa.Table:
         dim = table.column("dim")[0].as_py()
         b = table.column("b").to_numpy()
         order = np.argsort(table.column("node").to_numpy(), kind="stable")  # so that roots are least nodes
-        node, b, m = (table.column(c).to_numpy()[order] for c in ("node", "b", "m"))
+        node, b, m, mask = (table.column(c).to_numpy()[order] for c in ("node", "b", "m", "mask"))
         x = _matrix(table.column("vec"), dim)[order]
         bi, bj = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
         left = np.flatnonzero(b == bi)
         right = left if bi == bj else np.flatnonzero(b == bj)
         norm = np.sqrt((x * x).sum(1))
         count, parent = np.zeros(len(x), np.int64), np.arange(len(x))
-        if len(left) and len(right):
+        apart = len(left) and len(right) and np.bitwise_and.reduce(mask[left]) & np.bitwise_and.reduce(mask[right])
+        if len(left) and len(right) and not apart:
             # |d(x, c) - d(y, c)| <= d(x, y) for any centre c: sorted by that distance, a row meets only a window
             unit = x / norm[:, None]
             far = np.sqrt(np.maximum(2 - 2 * unit @ unit[left[0]], 0))
@@ -164,7 +195,7 @@ def links(nodes: DataFrame, threshold: float, cell: int = CELL, block: int = BLO
                 lo, hi = np.searchsorted(far[right], [far[rows[0]] - r - 1e-6, far[rows[-1]] + r + 1e-6])
                 cols = right[lo:hi]
                 cosine = (x[rows] @ x[cols].T) / (norm[rows][:, None] * norm[cols])
-                i, j = np.nonzero(cosine >= threshold)
+                i, j = np.nonzero((cosine >= threshold) & (mask[rows][:, None] & mask[cols] == 0))
                 i, j = rows[i], cols[j]
                 if bi == bj:
                     i, j = i[i != j], j[i != j]
@@ -202,7 +233,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, vec_id: str = "
     rows = rows.withColumn("node", F.when(F.coalesce(good, F.lit(False)), F.xxhash64("label", "vec")))
     grouped = rows.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("lo"), F.count("*").alias("m"), F.first("label").alias("label"), F.first("vec").alias("vec"))
     nodes = stored(grouped.select("node", "lo", "m", "label", F.size("vec").alias("dim"), "vec"), f"{folder}/nodes")
-    found = stored(links(nodes, threshold, cell, block), f"{folder}/links")
+    found = stored(links(nodes, threshold, folder, cell, block), f"{folder}/links")
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     total = found.groupBy("node").agg(F.sum("links").alias("links"))
     known = nodes.select("node", "lo", "m").join(total, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrowmap import extended
-from .runtime import ship
+from .runtime import shared_dir, ship, stored
 from .textarrays import SPACED, Words, blocks, mix, words
 
 BITS = 18
@@ -111,50 +111,90 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def trained(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, epochs: int = 3, text: str = "text") -> np.ndarray:
-    """Weights (the bias last) learnt from at most about max_rows labelled texts outside the held-out fifth.
+#: Features that a row of the training table holds at most; texts with more have several rows.
+PIECE = 1 << 12
+
+
+def examples(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, text: str = "text") -> DataFrame:
+    """The training texts' features, in pieces: order, doc_id, label, piece, i, x.
 
-    Rows are chosen by a hash of doc_id and learnt from in its order, in one
-    task whose size max_rows bounds; the rows' ids travel as a broadcast that
-    the same bound keeps small.  Held out: crc32(doc_id as text) mod 5 is 0.
-    Labels that are null or without a text are left out; of several for one
-    doc_id the least counts; without any the model is all zero (scores 0.5).
+    Chosen are at most about max_rows labelled doc_ids outside the held-out
+    fifth, by a hash of doc_id; their ids travel as a broadcast that the same
+    bound keeps small.  One text stands for a doc_id, of several that with the
+    least hash, however many rows bear it.
     """
-    spark = docs.sparkSession
-    ship(spark)
     able = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null").where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0)
     able = able.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    total = able.count()
-    if not total:
-        return np.zeros((1 << BITS) + 1)
     order = F.xxhash64(F.lit(9), "doc_id")
-    rate = min(1.0, max_rows / total)
+    rate = min(1.0, max_rows / max(1, able.count()))
     chosen = able.where(F.pmod(order, F.lit(1 << 40)) < int(rate * (1 << 40))).select("doc_id", "quality", order.alias("__order"))
-    rows = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id").select("__order", "quality", "text")
+    value = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select("doc_id", value.alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "__order", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    id_type = docs.schema["doc_id"].dataType
+    schema = T.StructType([T.StructField("order", T.LongType()), T.StructField("doc_id", id_type), T.StructField("label", T.IntegerType()), T.StructField("piece", T.IntegerType()), T.StructField("i", T.ArrayType(T.IntegerType())), T.StructField("x", T.ArrayType(T.FloatType()))])
 
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            order, label = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for a, _, data, offsets in blocks(batch.column(2)):
+            for a, b, data, offsets in blocks(batch.column(3)):
                 i, x, first = features(data, offsets)
-                i, x = i.astype(np.int32), x.astype(np.float32)
-                for k in range(len(first) - 1):
-                    own = slice(first[k], first[k + 1])
-                    examples.append((int(order[a + k]), float(x[own].sum()), i[own], x[own], int(label[a + k] == 1)))
-        examples.sort(key=lambda e: e[:2])
-        model = Ftrl()
-        for _ in range(epochs):
-            for _, _, i, x, label in examples:
-                model.learn(i, x.astype(np.float64), label)
+                pieces = np.maximum(-(-np.diff(first) // PIECE), 1)
+                row = np.repeat(np.arange(a, b), pieces)
+                nth = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                cuts = pa.array(np.append(np.repeat(first[:-1], pieces) + nth * PIECE, first[-1]), pa.int32())
+                take = pa.array(row)
+                label = pa.array((batch.column(2).to_numpy() == 1).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(v)) for v in (i.astype(np.int32), x.astype(np.float32))]
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(take), batch.column(0).take(take), label.take(take), pa.array(nth.astype(np.int32)), *lists], names=schema.names)
+
+    return rows.select("doc_id", "__order", "quality", "text").mapInArrow(run, schema)
+
+
+def trained(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, epochs: int = 3, text: str = "text") -> np.ndarray:
+    """Weights (the bias last) learnt from at most about max_rows labelled texts outside the held-out fifth.
+
+    Features are made in parallel and written; one task then reads them in the
+    order of a hash of doc_id, once for each epoch, and holds one text at a
+    time.  Held out: crc32(doc_id as text) mod 5 is 0.  Labels that are null or
+    without a document are left out, and a null text counts as empty; of several
+    labels for one doc_id the least counts; without any the model is all zero
+    (scores 0.5).
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    rows = stored(examples(docs, labels, max_rows, text), f"{shared_dir(spark)}/examples")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, last, held = Ftrl(), None, []
+
+        def end():
+            if held:
+                i, x = (np.concatenate(v) for v in zip(*held, strict=True))
+                model.learn(i, x.astype(np.float64), last[-1])
+                held.clear()
+
+        for batch in batches:
+            key = list(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True))  # epoch, order, doc_id, label
+            (i_list, x_list) = (batch.column(k) for k in (5, 6))
+            for r, k in enumerate(key):
+                if k != last:
+                    end()
+                    last = k
+                held.append((i_list[r].values.to_numpy(), x_list[r].values.to_numpy()))
+        end()
         yield pa.RecordBatch.from_arrays([pa.array([model.weights(slice(None)).tobytes()], pa.binary())], names=["weights"])
 
-    got = rows.repartition(1).mapInArrow(learn, "weights binary").collect()
+    each = rows.withColumn("epoch", F.explode(F.array(*[F.lit(k) for k in range(epochs)]))).repartition(1)
+    got = each.sortWithinPartitions("epoch", "order", "doc_id", "piece").select("epoch", "order", "doc_id", "label", "piece", "i", "x").mapInArrow(learn, "weights binary").collect()
     return np.frombuffer(got[0].weights) if got else np.zeros((1 << BITS) + 1)
 
 
 def scored(docs: DataFrame, weights: np.ndarray, text: str = "text", score: str = "score") -> DataFrame:
-    """Adds the probability that a text is of good quality.  Only the text counts; null is empty, which scores the bias."""
+    """Adds the probability that a text is of good quality.
+
+    Only the text counts; null is empty, which scores the bias.  Rows keep their
+    number, repeated ones get one score, and a column that bears the score's
+    name is replaced.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def make():
@@ -183,7 +223,11 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier doesn't reject, with the columns they came with."""
+    """The documents that the classifier doesn't reject, with the columns they came with, whatever their names.
+
+    Rows are judged by their texts alone, so null and empty ones go by the bias
+    and repeated ones together; an empty table gives one.
+    """
     order = docs.columns
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in order]).alias("__row"), F.col("text").alias("__text"))
     return scored(row, trained(docs, labels), "__text", "__score").where(F.col("__score") >= REJECT_BELOW).select("__row.*")

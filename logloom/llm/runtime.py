@@ -5,7 +5,6 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
-import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -61,12 +60,10 @@ def dropped(spark: SparkSession, *paths: str) -> None:
 
 
 def released(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of steps whose results are stored.
+    """Lets go of plans whose results are stored, so that Spark's cleaner may delete their shuffle files.
 
-    Its cleaner works when the driver's objects for a plan are collected, which
+    The cleaner acts when the driver's objects for a plan are collected, which
     may otherwise be long after.
     """
-    for _ in range(2):  # the first lets go of what Python holds, the second finds it
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

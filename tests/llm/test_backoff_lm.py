@@ -34,9 +34,11 @@ def test_matches_brute_force_for_any_pages(make_docs, odd_texts):
     texts = [*(t for t in odd_texts if t is None or len(t) < 5000), *(prose(rng, rng.randint(0, 60)) for _ in range(80))]
     texts += texts[-3:]
     docs = make_docs(texts).repartition(3)
-    for order, page, part in ((3, 1 << 20, 1 << 20), (3, 200, 300), (1, 100, 100), (4, 500, 64)):
+    for order, page, part, most in ((3, 1 << 20, 1 << 20, 4096), (3, 200, 300, 4096), (4, 500, 64, 4096), (3, 200, 300, 2), (1, 100, 100, 0)):
         want = brute(texts, order, 0.4)
-        for r in backoff_lm.scored(docs, order=order, page_words=page, partition_grams=part).collect():
+        got = backoff_lm.scored(docs, order=order, page_words=page, partition_grams=part, max_parts=most).collect()
+        assert len(got) == len(texts)
+        for r in got:
             n, lower, score = want[r.doc_id]
             assert (r.n_words, r.n_backoff) == (n, lower)
             assert r.log_score is None if score is None else math.isclose(r.log_score, score, rel_tol=1e-9, abs_tol=1e-9)

@@ -50,12 +50,13 @@ def sample():
     return rows + [(1000 + i, e, 0, "extra") for i, e in enumerate(odd)]
 
 
-def test_matches_brute_force_for_any_cells_and_blocks(spark):
+def test_matches_brute_force_for_any_cells_and_blocks(spark, monkeypatch):
     rows = sample()
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     want = brute(rows, 0.98)
     assert max(w[1] for w in want) > 5
-    for cell, block in ((2000, 4096), (20, 16), (60, 7)):
+    for cell, block, copies in ((2000, 4096, 4.0), (20, 16, 4.0), (60, 7, 1e9), (8, 4096, 1e9)):
+        monkeypatch.setattr(near_embeddings, "COPIES", copies)
         got = near_embeddings.near_duplicates(df, cell=cell, block=block)
         assert got.columns == ["vec_id", "n_links", "component_id", "kept"]
         assert sorted(tuple(r) for r in got.collect()) == want
@@ -82,3 +83,19 @@ def test_every_cell_in_reach_is_visited():
     near = np.argwhere(np.linalg.norm(unit[:, None] - unit, axis=2) <= r)
     meetings = [sum((i, c) in at and (j, c) in at and (at[i, c] or at[j, c]) for c in range(len(pivots))) for i, j in near.tolist() if i < j]
     assert meetings and set(meetings) == {1}
+
+
+def test_large_cells_are_split_again(spark, monkeypatch):
+    """Levels of pivots until cells are small; structured vectors get few copies."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 16))
+    x = centres[rng.integers(0, 40, 1200)] + rng.normal(size=(1200, 16)) * 0.05
+    monkeypatch.setattr(near_embeddings, "MAX_PIVOTS", 4)
+    nodes = spark.createDataFrame([(i, "a", 16, 1, v.tolist()) for i, v in enumerate(x)], "node long, label string, dim int, m long, vec array<double>")
+    levels = []
+    dealt = near_embeddings._dealt
+    monkeypatch.setattr(near_embeddings, "_dealt", lambda rows, pivots, r, level: levels.append(dealt(rows, pivots, r, level)) or levels[-1])
+    near_embeddings.links(nodes, 0.98, near_embeddings.shared_dir(spark), cell=50).count()
+    assert len(levels) >= 2
+    sizes = [r["count"] for r in levels[-1].groupBy("cell").count().collect()]
+    assert sum(sizes) < 4 * 1200 and max(sizes) < 600

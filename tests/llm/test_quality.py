@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -67,3 +68,44 @@ def test_odd_texts_and_labels(spark, make_docs, odd_texts):
     kept = quality.accepted(docs, none)
     assert kept.columns == docs.columns and kept.count() == len(odd_texts)
     assert quality.report(docs.limit(0), labels).count() == 0
+
+
+def test_updates_are_those_of_a_plain_loop(spark, make_docs):
+    """FTRL-proximal weight by weight, in the order of the hash, over texts that fill several pieces."""
+    rows = corpus(60)
+    docs = make_docs([t for _, t, _ in rows])
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    got = quality.trained(docs, labels, epochs=2)
+    seen = sorted((r.order, r.doc_id, r.piece, r.label, r.i, r.x) for r in quality.examples(docs, labels).collect())
+    assert {r[1] for r in seen} == {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5}
+    z, n = {}, {}
+
+    def weight(k):
+        v = z.get(k, 0.0)
+        return 0.0 if abs(v) <= 0.02 else -(v - math.copysign(0.02, v)) / (1.0 + math.sqrt(n[k]) + 0.02)
+
+    for _ in range(2):
+        for _, doc, _, label, _, _ in [r for r in seen if r[2] == 0]:
+            x = {i: v for r in seen if r[1] == doc for i, v in zip(r[4], r[5], strict=True)} | {1 << quality.BITS: 1.0}
+            p = 1 / (1 + math.exp(-sum(weight(k) * v for k, v in x.items())))
+            for k, v in x.items():
+                g, old, w = (p - label) * v, n.get(k, 0.0), weight(k)
+                z[k] = z.get(k, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) * w
+                n[k] = old + g * g
+    want = np.zeros(len(got))
+    for k in z:
+        want[k] = weight(k)
+    assert np.allclose(got, want, atol=1e-9) and np.count_nonzero(want) > 50
+
+
+def test_one_text_stands_for_a_repeated_id_and_long_texts_have_pieces(spark, make_docs, monkeypatch):
+    rows = corpus(40)
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    docs = make_docs([t for _, t, _ in rows])
+    whole = quality.trained(docs, labels)
+    assert (whole == quality.trained(docs.unionByName(docs).repartition(3), labels)).all()
+    other = make_docs([f"other {i}" for i in range(300)], [1] * 300)
+    assert quality.examples(docs.unionByName(other), labels).where("doc_id = 1").count() <= 1
+    monkeypatch.setattr(quality, "PIECE", 5)
+    assert quality.examples(docs, labels).groupBy("doc_id").count().agg({"count": "max"}).first()[0] > 3
+    assert (whole == quality.trained(docs, labels)).all()
