@@ -93,8 +93,8 @@ def test_large_cells_are_split_again(spark, monkeypatch):
     monkeypatch.setattr(near_embeddings, "MAX_PIVOTS", 4)
     nodes = spark.createDataFrame([(i, "a", 16, 1, v.tolist()) for i, v in enumerate(x)], "node long, label string, dim int, m long, vec array<double>")
     levels = []
-    dealt = near_embeddings._dealt
-    monkeypatch.setattr(near_embeddings, "_dealt", lambda rows, pivots, r, level: levels.append(dealt(rows, pivots, r, level)) or levels[-1])
+    written = near_embeddings.stored
+    monkeypatch.setattr(near_embeddings, "stored", lambda df, to: levels.append(written(df, to)) or levels[-1])
     near_embeddings.links(nodes, 0.98, near_embeddings.shared_dir(spark), cell=50).count()
     assert len(levels) >= 2
     sizes = [r["count"] for r in levels[-1].groupBy("cell").count().collect()]
