@@ -459,14 +459,16 @@ def first_rows(docs: DataFrame, shingle: int = 5, block: int = BLOCK, hot: int =
 
     Documents are rows, whether or not their doc_ids repeat or are null; a null
     doc_id comes after all others.  Of equal rows any one stays.  Rows without
-    words link with nothing, so all of them stay.
+    words link with nothing, so all of them stay.  Columns may bear any names;
+    an empty table gives one.
     """
     words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    source = docs.where(words).withColumn("loc", F.xxhash64(*[x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "doc_id", "text")
+    source = packed.where(words).withColumn("loc", F.xxhash64(*[x for c in docs.columns for x in (F.col(f"__row.`{c}`"), F.col(f"__row.`{c}`").isNull())]))
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "loc"))
     kept = _grouped(source.select("doc_id", "text", "loc"), shingle, block, hot).groupBy("root").agg(least.alias("least")).select("least.loc")
     # joined and told apart by the same key, so rows move once
-    return source.join(kept, "loc", "left_semi").dropDuplicates(["loc"]).select(*docs.columns).unionByName(docs.where(~words))
+    return source.join(kept, "loc", "left_semi").dropDuplicates(["loc"]).select("__row.*").unionByName(packed.where(~words).select("__row.*"))
 
 
 def _grouped(source: DataFrame, shingle: int, block: int, hot: int) -> DataFrame:

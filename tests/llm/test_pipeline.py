@@ -1,4 +1,5 @@
 import os
+import random
 import zlib
 
 import duckdb
@@ -9,6 +10,7 @@ import sentencepiece
 import corpus_pipeline
 from logloom.llm import queries, quality, secret_scan
 
+from .conftest import SCHEMA, prose
 from .test_decontaminate import brute as hits
 from .test_jaccard_join import shingles
 
@@ -80,3 +82,40 @@ def test_near_duplicate_filter_keeps_one_row_of_each_group(spark, make_docs):
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=key) == sorted([(1, a), (1, b), (7, c + " more"), (3, None), (3, ""), (3, ""), (None, " ")], key=key)
     lone = corpus_pipeline.near_duplicate_filter(spark, make_docs([a, b, b], [None, None, None]), SF)
     assert sorted(r.text for r in lone.collect()) == [a, b]
+
+
+@pytest.fixture(scope="module")
+def odd_tables(spark, odd_texts, tmp_path_factory):
+    """Documents with null and repeated ids, null in any column, odd and very long texts, repeated rows and columns whose names stages use."""
+    folder = tmp_path_factory.mktemp("odd")
+    rng = random.Random(21)
+    texts = [*odd_texts, *(prose(rng, 40) for _ in range(6)), "token = 'q8w7e6r5t4y3'"]
+    ids = [None, None, 1, 1, 2, *range(3, len(texts) - 2)]
+    rows = [(i, t, None if k % 3 else "en", None if k % 4 else "s", None if k % 5 == 0 or t is None else len(t)) for k, (i, t) in enumerate(zip(ids, texts, strict=True))]
+    rows += rows[-3:]
+    extra = ["'x' as __row", "1 as __text", "2 as node", "3 as loc", "4 as score", "5 as secrets", "6 as Hit_Spans", "7 as ids", "8 as decoded", "9 as root"]
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", *extra)
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, 1, None), (4, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "some benchmark words that no text has"), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return docs, str(folder)
+
+
+@pytest.mark.parametrize(("name", "stage"), corpus_pipeline.STAGES)
+def test_every_stage_takes_odd_rows(spark, odd_tables, name, stage):
+    docs, folder = odd_tables
+    rows = docs.collect()
+    out = stage(spark, docs, folder)
+    got = out.collect()
+    wide = {tuple(r[c] for c in corpus_pipeline.COLUMNS) for r in rows}
+    if name == "sentencepiece":
+        assert len(got) == len(rows) and all(r.n_tokens >= 1 for r in got)
+    else:
+        assert out.columns == corpus_pipeline.COLUMNS
+        if name != "secret_scan":
+            assert {tuple(r) for r in got} <= wide
+        if name in ("quality_classifier", "benchmark_decontamination", "secret_scan"):
+            assert len(got) == len(rows) or name == "quality_classifier"
+        if name == "ngram_jaccard_join":
+            assert len([r for r in got if (r.text or "").strip()]) == len({t for t in (r.text for r in rows) if (t or "").strip()})
+            assert len([r for r in got if not (r.text or "").strip()]) == len([r for r in rows if not (r.text or "").strip()])
+    assert stage(spark, docs.limit(0), folder).count() == 0
