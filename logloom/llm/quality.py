@@ -10,9 +10,12 @@ counts are scaled to unit length, so a score is one sparse dot product.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -152,40 +155,39 @@ def examples(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_RO
 def trained(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, epochs: int = 3, text: str = "text") -> np.ndarray:
     """Weights (the bias last) learnt from at most about max_rows labelled texts outside the held-out fifth.
 
-    Features are made in parallel and written; one task then reads them in the
-    order of a hash of doc_id, once for each epoch, and holds one text at a
-    time.  Held out: crc32(doc_id as text) mod 5 is 0.  Labels that are null or
-    without a document are left out, and a null text counts as empty; of several
-    labels for one doc_id the least counts; without any the model is all zero
-    (scores 0.5).
+    Features are made in parallel and written in the order of a hash of doc_id;
+    one task then reads them file by file, once for each epoch, and holds a few
+    hundred rows at a time.  Held out: crc32(doc_id as text) mod 5 is 0.  Labels
+    that are null or without a document are left out, and a null text counts as
+    empty; of several labels for one doc_id the least counts; without any the
+    model is all zero (scores 0.5).
     """
     spark = docs.sparkSession
     ship(spark)
-    rows = stored(examples(docs, labels, max_rows, text), f"{shared_dir(spark)}/examples")
+    folder = f"{shared_dir(spark)}/examples"
+    stored(examples(docs, labels, max_rows, text).repartitionByRange("order", "doc_id").sortWithinPartitions("order", "doc_id", "piece"), folder)
+
+    def rows() -> Iterator[tuple]:
+        """(order, doc_id), label, features and values of every piece, in order."""
+        store, at = pafs.FileSystem.from_uri(folder)
+        for path in sorted(f.path for f in store.get_file_info(pafs.FileSelector(at)) if f.path.endswith(".parquet")):
+            with store.open_input_file(path) as f:
+                for batch in pq.ParquetFile(f).iter_batches(256, columns=["order", "doc_id", "label", "i", "x"]):
+                    keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+                    for r, (key, label) in enumerate(zip(keys, batch.column(2).to_pylist(), strict=True)):
+                        yield key, label, batch.column(3)[r].values.to_numpy(), batch.column(4)[r].values.to_numpy()
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, last, held = Ftrl(), None, []
-
-        def end():
-            if held:
-                i, x = (np.concatenate(v) for v in zip(*held, strict=True))
-                model.learn(i, x.astype(np.float64), last[-1])
-                held.clear()
-
-        for batch in batches:
-            key = list(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True))  # epoch, order, doc_id, label
-            (i_list, x_list) = (batch.column(k) for k in (5, 6))
-            for r, k in enumerate(key):
-                if k != last:
-                    end()
-                    last = k
-                held.append((i_list[r].values.to_numpy(), x_list[r].values.to_numpy()))
-        end()
-        yield pa.RecordBatch.from_arrays([pa.array([model.weights(slice(None)).tobytes()], pa.binary())], names=["weights"])
-
-    each = rows.withColumn("epoch", F.explode(F.array(*[F.lit(k) for k in range(epochs)]))).repartition(1)
-    got = each.sortWithinPartitions("epoch", "order", "doc_id", "piece").select("epoch", "order", "doc_id", "label", "piece", "i", "x").mapInArrow(learn, "weights binary").collect()
-    return np.frombuffer(got[0].weights) if got else np.zeros((1 << BITS) + 1)
+        for _ in batches:
+            model = Ftrl()
+            for _ in range(epochs):
+                for (_, label), pieces in groupby(rows(), key=lambda r: r[:2]):
+                    i, x = (np.concatenate(v) for v in list(zip(*pieces, strict=True))[2:])
+                    model.learn(i, x.astype(np.float64), label)
+            yield pa.RecordBatch.from_arrays([pa.array([model.weights(slice(None)).tobytes()], pa.binary())], names=["weights"])
+
+    got = spark.range(1).coalesce(1).mapInArrow(learn, "weights binary").collect()
+    return np.frombuffer(got[0].weights)
 
 
 def scored(docs: DataFrame, weights: np.ndarray, text: str = "text", score: str = "score") -> DataFrame:
