@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -45,9 +44,23 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/logloom-{uuid.uuid4().hex}"
 
 
+#: Has Spark delete a query's shuffle files as soon as it has run.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, to: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it: cuts lineage and outlives executors."""
-    df.write.parquet(to)
+    """Writes a table to the shared folder and reads it: cuts lineage and outlives executors.
+
+    Nothing else reads the shuffle files of the write, so they go with its end
+    rather than when the driver's objects for its plan are collected.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(to)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(to)
 
 
@@ -57,13 +70,3 @@ def dropped(spark: SparkSession, *paths: str) -> None:
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
-
-
-def released(spark: SparkSession) -> None:
-    """Lets go of plans whose results are stored, so that Spark's cleaner may delete their shuffle files.
-
-    The cleaner acts when the driver's objects for a plan are collected, which
-    may otherwise be long after.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
