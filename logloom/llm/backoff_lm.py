@@ -36,6 +36,8 @@ from .textarrays import SPACED, blocks, mix, words
 ORDER, BACKOFF = 3, 0.4
 #: Words of a page, and n-grams that a partition of a count table gets on average.
 PAGE_WORDS, PARTITION_GRAMS = 1 << 20, 1 << 20
+#: Words of a page whose own counts are taken at once, up to the end of a document.
+SLICE_WORDS = 1 << 17
 #: Partitions of a count table up to which pages send blocks, a few hundred n-grams at least; beyond, rows.
 MAX_PARTS = 4096
 #: Count of a word that occurs nowhere else.
@@ -204,22 +206,32 @@ def scored(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, doc_id
     return pages.join(answers, "page", "left").mapInArrow(score, schema)
 
 
+def _others(h: np.ndarray, doc: np.ndarray, n: int, total: np.ndarray) -> np.ndarray:
+    """The count over other documents of the n-gram that ends at each word; -1 where none does."""
+    g, at = _grams(h, doc, n)
+    _, code = np.unique(g, return_inverse=True)
+    del g
+    out = np.full(len(h), -1, np.int64)
+    a = 0
+    while a < len(at):  # some documents at a time
+        b = int(np.searchsorted(at, at[a] + SLICE_WORDS))
+        b = int(np.searchsorted(at, np.searchsorted(doc, doc[at[b - 1]], "right")))
+        _, same, own = np.unique(doc[at[a:b]] * max(1, len(total)) + code[a:b], return_inverse=True, return_counts=True)
+        out[at[a:b]] = total[code[a:b]] - own[same]
+        a = b
+    return out
+
+
 def _page_scores(row: dict, totals: dict[int, np.ndarray], n_all: int, order: int, backoff: float) -> pa.RecordBatch:
     """Scores of a page's documents; totals: for each order the counts of the page's distinct n-grams in ascending order of hash."""
     h, doc = _read(row)
     sizes = np.array(row["n_words"], np.int64)
-    rest = {}  # for each order the count over other documents of the n-gram that ends at each word; -1 where none does
-    for n in range(1, order + 1):
-        g, at = _grams(h, doc, n)
-        total = totals[n]
-        _, code = np.unique(g, return_inverse=True)
-        _, same, own = np.unique(doc[at] * max(1, len(total)) + code, return_inverse=True, return_counts=True)
-        rest[n] = np.full(len(h), -1, np.int64)
-        rest[n][at] = total[code] - own[same]
+    rest = {n: _others(h, doc, n, totals[n]) for n in range(1, order + 1)}
+    del h
     others = np.maximum(n_all - sizes, 1)[doc]
     score = np.log(np.maximum(rest[1], UNSEEN) / others)
-    level = np.ones(len(h), np.int64)
-    highest = np.ones(len(h), np.int64)
+    level = np.ones(len(doc), np.int8)
+    highest = np.ones(len(doc), np.int8)
     for n in range(2, order + 1):
         highest[rest[n] >= 0] = n
     score += np.log(backoff) * (highest - 1)
