@@ -15,6 +15,21 @@ from .runtime import ship
 BatchFn = Callable[[pa.RecordBatch], Sequence[pa.Array]]
 
 
+#: A text column by its name, or a field of a struct column by its name and the field's number.
+Place = str | tuple[str, int]
+
+
+def column_of(batch: pa.RecordBatch, place: Place) -> pa.Array:
+    if isinstance(place, str):
+        return batch.column(batch.schema.get_field_index(place))
+    return batch.column(batch.schema.get_field_index(place[0])).field(place[1])
+
+
+def packed(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Place]:
+    """Whole rows as the one column __row, whatever their columns' names, and where the text is in it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")), ("__row", docs.columns.index(text))
+
+
 def extended(docs: DataFrame, fields: Sequence[T.StructField], make: Callable[[], BatchFn], drop: Sequence[str] = ()) -> DataFrame:
     """Adds columns that ``make()``'s function computes from each Arrow batch.
 

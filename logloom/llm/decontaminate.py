@@ -16,7 +16,7 @@ shift.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowmap import extended
+from .arrowmap import Place, column_of, extended, packed
 from .runtime import shared_dir, ship, stored
 from .textarrays import ALNUM, BLOCK, blocks, words
 
@@ -204,7 +204,7 @@ _SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("en
 _ARROW_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def occurrences(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", part_windows: int = PART_WINDOWS) -> DataFrame:
+def occurrences(docs: DataFrame, items: DataFrame, window: int = 10, text: Place = "text", item_id: str = "item_id", item_text: str = "text", part_windows: int = PART_WINDOWS, drop: Sequence[str] = ()) -> DataFrame:
     """Adds to docs: n_words, hit_spans (runs of hit words, end exclusive) and hit_items (sorted ids as strings).
 
     Words are maximal runs of ASCII letters and digits and non-ASCII
@@ -217,14 +217,14 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = 10, text: str =
     Null or empty text: no words, no hits.  Items without words have no test
     strings; an item with a null id still marks words but is not listed;
     repeated ids are listed once.  Empty tables give no rows, or no hits.
-    Columns of docs that bear a new column's name are replaced.
+    Columns of docs that bear a new column's name are replaced, those in drop left out.
     """
     paths = compiled(items, window, item_id, item_text, part_windows)
     fields = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(_SPAN)), T.StructField("hit_items", T.ArrayType(T.StringType()))]
 
     def make():
         def run(batch: pa.RecordBatch):
-            column = batch.column(batch.schema.get_field_index(text))
+            column = column_of(batch, text)
             n_words, spans, items = [], [], []
             for _, _, data, offsets in blocks(column, BLOCK if len(paths) < 2 else MANY_PARTS_BLOCK):
                 w = words(data, offsets, ALNUM)
@@ -250,7 +250,7 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = 10, text: str =
 
         return run
 
-    return extended(docs, fields, make)
+    return extended(docs, fields, make, drop)
 
 
 def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
@@ -260,7 +260,7 @@ def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
 
 def report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """One row per document: n_words, n_hit, n_items, items_sha256, contaminated."""
-    found = occurrences(docs.select("doc_id", "text"), items, **options)
+    found = occurrences(docs.select("doc_id", "text"), items, drop=["text"], **options)
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
     return found.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"),
@@ -275,5 +275,5 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     together, an empty benchmark keeps all, and an empty table gives one.
     Columns may bear any names.
     """
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("text").alias("__text"))
-    return occurrences(packed, items, text="__text").where(F.size("hit_spans") == 0).select("__row.*")
+    rows, place = packed(docs)
+    return occurrences(rows, items, text=place).where(F.size("hit_spans") == 0).select("__row.*")

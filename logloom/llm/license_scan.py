@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowmap import extended
+from .arrowmap import column_of, extended
 from .textarrays import ALNUM, Words, blocks, mix, ngram_hashes, words
 
 SHINGLE = 5
@@ -273,7 +273,7 @@ _MATCH = T.StructType([T.StructField("license", T.StringType()), T.StructField("
 _ARROW = pa.list_(pa.struct([("license", pa.string()), ("start_word", pa.int32()), ("end_word", pa.int32()), ("containment", pa.float64())]))
 
 
-def licenses(docs: DataFrame, templates: Mapping[str, str] | None = None, threshold: float = 0.8, text: str = "text") -> DataFrame:
+def licenses(docs: DataFrame, templates: Mapping[str, str] | None = None, threshold: float = 0.8, text: str = "text", drop: Sequence[str] = ()) -> DataFrame:
     """Adds column licenses: array of (license, start_word, end_word, containment), in the order of the text.
 
     The templates, of a size that the caller knows, travel with the task; texts
@@ -283,6 +283,7 @@ def licenses(docs: DataFrame, templates: Mapping[str, str] | None = None, thresh
     ``inventory`` are looked for, and SPDX lines.  A template is reported at each place where
     ``threshold`` or more of its distinct shingles stand within a stretch at
     most a quarter longer than itself; places of one template don't overlap.
+    Columns in drop are left out.
     """
     chosen = dict(inventory() if templates is None else templates)
     ids = SPDX_IDS if templates is None else []
@@ -292,7 +293,7 @@ def licenses(docs: DataFrame, templates: Mapping[str, str] | None = None, thresh
 
         def run(batch):
             out: list[Sequence] = []
-            for _, _, data, offsets in blocks(batch.column(batch.schema.get_field_index(text))):
+            for _, _, data, offsets in blocks(column_of(batch, text)):
                 w = words(data, offsets, ALNUM)
                 found = index.matches(*ngram_hashes(w, SHINGLE), threshold)
                 out += [sorted(m + t, key=lambda x: (x[1], x[0])) if t else m for m, t in zip(found, tags.matches(w), strict=True)]
@@ -300,11 +301,11 @@ def licenses(docs: DataFrame, templates: Mapping[str, str] | None = None, thresh
 
         return run
 
-    return extended(docs, [T.StructField("licenses", T.ArrayType(_MATCH))], make)
+    return extended(docs, [T.StructField("licenses", T.ArrayType(_MATCH))], make, drop)
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_matches, license_ids (sorted, comma-joined), spans (license:start:end, comma-joined)."""
-    found = licenses(docs.select("doc_id", "text"))
+    found = licenses(docs.select("doc_id", "text"), drop=["text"])
     spans = F.transform("licenses", lambda m: F.concat_ws(":", m["license"], m["start_word"].cast("string"), m["end_word"].cast("string")))
     return found.select("doc_id", F.size("licenses").cast("long").alias("n_matches"), F.array_join(F.array_sort(F.array_distinct(F.col("licenses.license"))), ",").alias("license_ids"), F.array_join(spans, ",").alias("spans"))

@@ -9,7 +9,7 @@ counts are scaled to unit length, so a score is one sparse dot product.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import groupby
 
 import numpy as np
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowmap import extended
+from .arrowmap import Place, column_of, extended, packed
 from .runtime import shared_dir, ship, stored
 from .textarrays import SPACED, Words, blocks, mix, words
 
@@ -190,12 +190,12 @@ def trained(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROW
     return np.frombuffer(got[0].weights)
 
 
-def scored(docs: DataFrame, weights: np.ndarray, text: str = "text", score: str = "score") -> DataFrame:
+def scored(docs: DataFrame, weights: np.ndarray, text: Place = "text", score: str = "score", drop: Sequence[str] = ()) -> DataFrame:
     """Adds the probability that a text is of good quality.
 
     Only the text counts; null is empty, which scores the bias.  Rows keep their
     number, repeated ones get one score, and a column that bears the score's
-    name is replaced.
+    name is replaced; columns in drop are left out.
     """
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
@@ -204,7 +204,7 @@ def scored(docs: DataFrame, weights: np.ndarray, text: str = "text", score: str
 
         def run(batch):
             out = []
-            for _, _, data, offsets in blocks(batch.column(batch.schema.get_field_index(text))):
+            for _, _, data, offsets in blocks(column_of(batch, text)):
                 i, x, first = features(data, offsets)
                 total = np.zeros(len(first) - 1)
                 some = first[1:] > first[:-1]  # each text's sum on its own: it doesn't depend on the texts around it
@@ -214,13 +214,13 @@ def scored(docs: DataFrame, weights: np.ndarray, text: str = "text", score: str
 
         return run
 
-    return extended(docs, [T.StructField(score, T.DoubleType())], make)
+    return extended(docs, [T.StructField(score, T.DoubleType())], make, drop)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted (1 from REJECT_BELOW on)."""
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
-    found = scored(docs.select("doc_id", "text"), trained(docs, labels))
+    found = scored(docs.select("doc_id", "text"), trained(docs, labels), drop=["text"])
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= REJECT_BELOW).cast("int").alias("predicted"))
 
 
@@ -230,6 +230,5 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Rows are judged by their texts alone, so null and empty ones go by the bias
     and repeated ones together; an empty table gives one.
     """
-    order = docs.columns
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in order]).alias("__row"), F.col("text").alias("__text"))
-    return scored(row, trained(docs, labels), "__text", "__score").where(F.col("__score") >= REJECT_BELOW).select("__row.*")
+    rows, place = packed(docs)
+    return scored(rows, trained(docs, labels), place, "__score").where(F.col("__score") >= REJECT_BELOW).select("__row.*")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrowmap import extended
+from .arrowmap import column_of, extended
 from .runtime import ship
 
 #: In the order that breaks ties between findings with one start.
@@ -469,18 +469,18 @@ _FINDING = T.StructType([T.StructField(n, k) for n, k in (("kind", T.StringType(
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("secret_start", pa.int32()), ("name", pa.string()), ("score", pa.float64())]))
 
 
-def secrets(docs: DataFrame, text: str = "text") -> DataFrame:
+def secrets(docs: DataFrame, text: str = "text", drop: Sequence[str] = ()) -> DataFrame:
     """Adds column secrets: array of (kind, start, end, secret_start, name, score), by start, then kind.
 
     One narrow pass over whole texts.  Null and empty texts have no findings.
-    A column of docs named secrets is replaced.
+    A column of docs named secrets is replaced, those in drop are left out.
     """
 
     def make():
         names = _FINDING.names
 
         def run(batch):
-            column = batch.column(batch.schema.get_field_index(text))
+            column = column_of(batch, text)
             out: list[list[dict]] = [[]] * len(column)
             for i in _to_read(column):
                 out[i] = [dict(zip(names, f, strict=True)) for f in findings(column[i].as_py())]
@@ -488,7 +488,7 @@ def secrets(docs: DataFrame, text: str = "text") -> DataFrame:
 
         return run
 
-    return extended(docs, [T.StructField("secrets", T.ArrayType(_FINDING))], make)
+    return extended(docs, [T.StructField("secrets", T.ArrayType(_FINDING))], make, drop)
 
 
 def redacted(docs: DataFrame, text: str = "text", mark: str = "<secret>") -> DataFrame:
@@ -539,7 +539,7 @@ def _replaced(column: pa.Array, new: dict[int, object]) -> pa.Array:
 
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
-    found = secrets(docs.select("doc_id", "text")).select("doc_id", "secrets")
+    found = secrets(docs.select("doc_id", "text"), drop=["text"])
 
     def spelled(kept):
         return F.array_join(F.transform(kept, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")
