@@ -15,6 +15,9 @@ FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 
+#: IP after bytes that weren't UTF-8; a column keeps them as they are, so only a pattern sees them.
+_LINE_IP = "^�*" + IP.removeprefix("^")
+
 _MASK = 0xFFFFFFFF
 
 
@@ -23,9 +26,9 @@ def parse_ip(line: Column) -> Column:
 
     Octets aren't range-checked and nothing has to follow them, so 999.1.2.3 is
     an address and 1.2.3.4567 gives 1.2.3.456.  Digits are ASCII.  Bytes that
-    weren't UTF-8, which the reader turned into U+FFFD, are skipped at the start.
+    weren't UTF-8, which a regular expression reads as U+FFFD, are skipped at the start.
     """
-    return F.coalesce(F.regexp_extract(F.ltrim(line, F.lit("�")), IP, 1), F.lit(""))
+    return F.coalesce(F.regexp_extract(line, _LINE_IP, 1), F.lit(""))
 
 
 def is_address(ip: Column) -> Column:
